@@ -44,8 +44,9 @@ _CONNECTIVE = frozenset(w for ws in CONNECTIVES.values() for w in ws.split())
 _FUNCTION = {k: frozenset(ws.split()) for k, ws in FUNCTION_WORDS.items()}
 
 _QUERY_LINE = regex.compile(r"^\s*(?:--|(?i:select|with|insert|update|delete|create)\s)(?=.*[=();*'\"]).*$|^\s*(?i:from|where|group by|order by|and|having|limit)\b(?=.*[=();*'\"]).*$", regex.M)
-_NOT_WORDS = regex.compile(r"\S*[_\\/@#=<>|{}\[\]\d]\S*|\S*\p{L}\.\p{L}\S*")
+_NOT_WORDS = regex.compile(r"(?<!\S)(?:[^\s_\\/@#=<>|{}\[\]0-9]*+[_\\/@#=<>|{}\[\]0-9]\S*|[^\s.]*+(?<=\p{L})\.(?=\p{L})\S*)")
 _SENTENCE = regex.compile(r"[.!?]+[\"'”»)]*\s+|\n\s*[-*•]\s*|\n\s*\n|[.!?]+$|\n(?=\s*\p{Lu})")
+_UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
 
 FEATURES = (
@@ -61,8 +62,7 @@ def sentences(text: str | None) -> list[list[str]]:
         return []
     text = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n")
     text = _NOT_WORDS.sub(" ", _QUERY_LINE.sub("\n", text))
-    letters = regex.findall(r"\p{L}", text[:4000])
-    shouting = sum(c.isupper() for c in letters) > 0.6 * len(letters)
+    shouting = len(_UPPER.findall(text)) > 1.5 * len(_LOWER.findall(text))
     out = []
     for part in _SENTENCE.split(text):
         words = _WORD.findall(part or "")
@@ -82,10 +82,19 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) & ((1 << BUCKET_BITS) - 1)
 
 
-def _language(words: list[str]) -> tuple[str, float]:
-    hits = {k: sum(w in ws for w in words) for k, ws in _FUNCTION.items()}
-    best = max(hits, key=hits.get)
-    return best, hits[best] / len(words)
+_VOWELS = regex.compile(r"[aeiouyäöüéèêáíóúàùâîôûœ]+")
+_KNOWN: dict[str, tuple] = {}
+
+
+def _facts(word: str) -> tuple:
+    """Length, vowel groups, bucket, connective or not, and one flag for each language; kept for words met before."""
+    found = _KNOWN.get(word)
+    if found is None:
+        if len(_KNOWN) > 500_000:
+            _KNOWN.clear()
+        flags = (float(word in ws) for ws in _FUNCTION.values())
+        found = _KNOWN[word] = (len(word), len(_VOWELS.findall(word)), bucket(word), float(word in _CONNECTIVE), *flags)
+    return found
 
 
 def features(text: str | None, rarity: np.ndarray) -> list[float] | None:
@@ -95,27 +104,29 @@ def features(text: str | None, rarity: np.ndarray) -> list[float] | None:
         return None
     words = [w for p in parts for w in p]
     n = len(words)
-    lengths = np.array([len(w) for w in words], float)
-    lang, share = _language(words)
-    vowels = np.array([len(regex.findall(r"[aeiouyäöüéèêáíóúàùâîôûœ]+", w)) for w in words], float)
+    facts = np.array([_facts(w) for w in words], float)
+    lengths, linked = facts[:, 0], facts[:, 3]
+    in_lang = facts[:, 4:].mean(0)
+    lang = list(_FUNCTION)[int(in_lang.argmax())]
     sizes = np.array([len(p) for p in parts], float)
-    ends = np.cumsum(sizes.astype(int))
-    means = np.add.reduceat(lengths, np.concatenate([[0], ends[:-1]])) / sizes
+    starts = np.concatenate([[0], np.cumsum(sizes.astype(int))[:-1]])
+    means = np.add.reduceat(lengths, starts) / sizes
+    # weighted by words: a short greeting before one endless sentence changes little
     weights = sizes / n
-    _, codes, counts = np.unique(words, return_inverse=True, return_counts=True)
-    simpson = float((counts * (counts - 1)).sum() / max(n * (n - 1), 1))
-    windows = [len(set(codes[i : i + 40].tolist())) / len(codes[i : i + 40]) for i in range(0, max(n - 19, 1), 40)]
-    rare = rarity[np.fromiter((bucket(w) for w in words), int, n)]
+    first: dict[str, int] = {}
+    codes = [first.setdefault(w, len(first)) for w in words]
+    counts = np.bincount(codes)
+    simpson = float((counts * (counts - 1.0)).sum() / max(n * (n - 1), 1))
+    windows = [len(set(w)) / len(w) for w in (codes[i : i + 40] for i in range(0, max(n - 19, 1), 40))]
+    rare = rarity[facts[:, 2].astype(int)]
     length = float(lengths.mean())
-    # weighted by words: a short greeting before one endless sentence changes little
-    linked = np.array([sum(w in _CONNECTIVE for w in p) for p in parts], float)
     commas = (text or "").count(",")
     return [
         length,
         float((lengths >= 7).mean()),
         float((lengths >= 10).mean()),
         float((lengths >= 13).mean()),
-        float(vowels.mean()),
+        float(facts[:, 1].mean()),
         float(np.quantile(lengths, 0.75)),
         float(np.log(n / len(parts))),
         float(np.log((weights * sizes).sum())),
@@ -124,10 +135,10 @@ def features(text: str | None, rarity: np.ndarray) -> list[float] | None:
         float(np.mean(windows)),
         float(rare.mean()),
         float(np.quantile(rare, 0.8)),
-        float(linked.sum() / n),
-        float(np.log1p((weights * linked).sum())),
+        float(linked.mean()),
+        float(np.log1p((weights * np.add.reduceat(linked, starts)).sum())),
         commas / n,
-        share,
+        float(in_lang.max()),
         float(np.log(n)),
         float(lang == "de"),
         float(lang == "fr"),
@@ -149,7 +160,7 @@ def document_frequencies(documents: DataFrame, text: Column) -> tuple[np.ndarray
         sums, docs = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                found = {bucket(w) for p in sentences(t) for w in p}
+                found = {_facts(w)[2] for p in sentences(t) for w in p}
                 if found:
                     docs += 1
                     sums[np.fromiter(found, int, len(found))] += 1
