@@ -212,7 +212,7 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-_SPLIT = "id string, train boolean, split string, source string, field string, class string, tokens array<string>, kinds array<tinyint>"
+_SPLIT = "id string, train boolean, split string, source string, field string, class binary, tokens array<string>, kinds array<tinyint>"
 
 
 def _split_all(fields: dict[str, Callable]):
@@ -226,7 +226,7 @@ def _split_all(fields: dict[str, Callable]):
                     [
                         *head.columns,
                         pa.array([name] * len(parts)),
-                        pa.array([hashlib.blake2b(p[2].encode("utf-8", "replace"), digest_size=16).hexdigest() for p in parts]),
+                        pa.array([hashlib.blake2b(f"{name}\0{p[2]}".encode("utf-8", "replace"), digest_size=16).digest() for p in parts], pa.binary()),
                         pa.array([p[0] for p in parts], pa.list_(pa.string())),
                         pa.array([p[1] for p in parts], pa.list_(pa.int8())),
                     ],
@@ -237,6 +237,9 @@ def _split_all(fields: dict[str, Callable]):
     return run
 
 
+_FOUND = pa.schema([("field", pa.string()), ("train_class", pa.binary()), ("eval_class", pa.binary()), ("coverage", pa.float64()), ("alike", pa.float64())])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's evaluation classes, then its training classes: automaton, scan, merge, check."""
     found: dict[str, list] = {"field": [], "train_class": [], "eval_class": [], "coverage": [], "alike": []}
@@ -278,9 +281,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k, v in zip(found, (row["field"], row["class"], name, share, score), strict=True):
                         found[k].append(v)
         if len(found["field"]) > 10_000:
-            yield pa.RecordBatch.from_pydict(found)
+            yield pa.RecordBatch.from_pydict(found, _FOUND)
             found = {k: [] for k in found}
-    yield pa.RecordBatch.from_pydict(found, pa.schema([("field", pa.string()), ("train_class", pa.string()), ("eval_class", pa.string()), ("coverage", pa.float64()), ("alike", pa.float64())]))
+    yield pa.RecordBatch.from_pydict(found, _FOUND)
 
 
 def split_records(records: DataFrame, *, id: Column, split: Column, source: Column, fields: dict[str, tuple[Column, Callable]], train: str = "train") -> DataFrame:
@@ -298,27 +301,35 @@ def overlapping_classes(rows: DataFrame, *, exact_fields: tuple[str, ...] = (),
     """``field, train_class, eval_class, coverage, alike`` for the classes that overlap, over ``split_records``."""
     spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flat = rows.select("field", F.explode(F.arrays_zip("tokens", "kinds")).alias("t")).select("field", "t.tokens", "t.kinds")
-    told = flat.groupBy("field", F.col("tokens").alias("token")).agg(
+    exact = F.col("field").isin(list(exact_fields)) if exact_fields else F.lit(False)
+    flags = [F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.min(F.struct("tokens", "kinds")).alias("t")]
+    classes = rows.groupBy("field", "class").agg(*flags).withColumn("exact", exact)
+    kept = ["field", "class", "in_train", "in_eval", "exact", "tokens", "names", "anchor"]
+    # of these a text overlaps with itself only, so it is its own shard
+    same = classes.filter("exact").select("*", "t.tokens", F.transform("t.kinds", lambda k: k == SURE).alias("names"), F.hex("class").alias("anchor")).select(kept)
+
+    flat = rows.filter(~exact).select(F.explode(F.arrays_zip("tokens", "kinds")).alias("t")).select("t.tokens", "t.kinds")
+    told = flat.groupBy(F.col("tokens").alias("token")).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("kinds") == CAPITAL).alias("capital"),
         F.count_if(F.col("kinds") == LOWER).alias("lower"),
     )
     told = told.withColumn("named", (F.col("capital") > 0) & (F.col("capital") >= NAME_SHARE * (F.col("capital") + F.col("lower"))))
-    told = told.select("field", "token", "n", "named").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    told = told.select("token", "n", "named").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
-    classes = rows.groupBy("field", "class").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.min(F.struct("tokens", "kinds")).alias("t"))
-    each = classes.select("field", "class", "in_train", "in_eval", F.posexplode(F.arrays_zip("t.tokens", "t.kinds")).alias("pos", "t"))
-    each = each.select("field", "class", "in_train", "in_eval", "pos", F.col("t.tokens").alias("token"), F.col("t.kinds").alias("kind"))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(_SALTS)).cast("int")).join(told, ["field", "token", "salt"])
+    other = classes.filter("not exact")
+    each = other.select("class", F.posexplode(F.arrays_zip("t.tokens", "t.kinds")).alias("pos", "t"))
+    each = each.select("class", "pos", F.col("t.tokens").alias("token"), F.col("t.kinds").alias("kind"), F.pmod(F.hash("class"), F.lit(_SALTS)).alias("salt"))
+    each = each.join(told, ["token", "salt"])
     name = (F.col("kind") == SURE) | ((F.col("kind") != PLAIN) & F.col("named"))
-    marked = each.groupBy("field", "class", "in_train", "in_eval").agg(F.sort_array(F.collect_list(F.struct("pos", "token", name.alias("name"), "n"))).alias("t"))
-    by_rarity = F.array_sort(F.transform("t", lambda t: F.struct(t["n"].alias("n"), t["token"].alias("token"), t["name"].alias("name"))))
-    marked = marked.select("field", "class", "in_train", "in_eval", F.col("t.token").alias("tokens"), F.col("t.name").alias("names"), by_rarity.alias("r"))
+    marked = each.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("pos", "token", name.alias("name"), "n"))).alias("m"))
+    by_rarity = F.array_sort(F.transform("m", lambda t: F.struct(t["n"].alias("n"), t["token"].alias("token"), t["name"].alias("name"))))
+    marked = marked.select("class", F.col("m.token").alias("tokens"), F.col("m.name").alias("names"), by_rarity.alias("r"))
     named = F.filter("r", lambda t: t["name"])
     prefix = F.slice("r", 1, F.floor(F.size("r") * (1 - LEAST_ALIKE_PLAIN) + 1e-9).cast("int") + 1)
     anchors = F.array_distinct(F.when(F.size(named) > 0, F.transform(F.slice(named, 1, 1), lambda t: t["token"])).otherwise(F.transform(prefix, lambda t: t["token"])))
-    anchored = marked.withColumn("anchor", F.explode(anchors)).drop("r")
+    marked = marked.withColumn("anchor", F.explode(anchors)).drop("r")
+    anchored = same.unionByName(other.drop("t").join(marked, "class").select(kept))
 
     # a token that is the anchor of very many classes: blocks of evaluation by blocks of training classes
     size = anchored.groupBy("field", "anchor").agg(F.count_if("in_eval").alias("n_eval"), F.count_if("in_train").alias("n_train"))
@@ -326,15 +337,14 @@ def overlapping_classes(rows: DataFrame, *, exact_fields: tuple[str, ...] = (),
         "field", "anchor", F.ceil(F.col("n_eval") / block).cast("int").alias("e_blocks"), F.ceil(F.col("n_train") / block).cast("int").alias("t_blocks")
     )
     placed = anchored.join(size, ["field", "anchor"])
-    keep = ["field", "anchor", "class", "tokens", "names"]
+    keep = ["field", "anchor", "class", "tokens", "names", "exact"]
     mine = F.xxhash64("class")
     e = placed.filter("in_eval").withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)))
     e = e.select(*keep, (F.pmod(mine, F.col("e_blocks")) * F.col("t_blocks") + F.col("tb")).alias("cell"), F.lit(False).alias("scanned"))
     t = placed.filter("in_train").withColumn("eb", F.explode(F.sequence(F.lit(0), F.col("e_blocks") - 1)))
     t = t.select(*keep, (F.col("eb") * F.col("t_blocks") + F.pmod(mine, F.col("t_blocks"))).alias("cell"), F.lit(True).alias("scanned"))
-    both = e.unionByName(t).withColumn("exact", F.col("field").isin(list(exact_fields)) if exact_fields else F.lit(False))
-    sharded = both.repartition(width, "field", "anchor", "cell").sortWithinPartitions("scanned")
-    return sharded.mapInArrow(_scan, "field string, train_class string, eval_class string, coverage double, alike double").distinct()
+    sharded = e.unionByName(t).repartition(width, "field", "anchor", "cell").sortWithinPartitions("scanned")
+    return sharded.mapInArrow(_scan, "field string, train_class binary, eval_class binary, coverage double, alike double").distinct()
 
 
 def overlapping_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
