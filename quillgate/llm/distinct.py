@@ -17,30 +17,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TAIL_BITS = 52
+TAIL_BITS, PRECISION = 52, 14
 
 
 def relative_error(precision: int) -> float:
     return 1.04 / math.sqrt(1 << precision)
 
 
-def register_rows(rows: DataFrame, by: dict[str, Column], values: dict[str, Column], *, precision: int = 12) -> DataFrame:
+def register_rows(rows: DataFrame, by: dict[str, Column], values: dict[str, Column], *, precision: int = PRECISION) -> DataFrame:
     """``*by, field_name, register, rank``: the registers of each field's values in each group.
 
-    ``precision`` is 4, 8, 12 or 16. Null and blank values count nothing, a null group is a group of
+    ``precision`` is 4 to 16. Null and blank values count nothing, a null group is a group of
     its own, repeated rows change nothing, an empty table has no registers. Columns of ``rows`` that
     aren't named in ``by`` or ``values`` are not read, whatever their names.
     """
-    if precision not in (4, 8, 12, 16):
-        raise ValueError("precision must be 4, 8, 12 or 16")
-    digits = precision // 4
+    if not 4 <= precision <= 16:
+        raise ValueError("precision must be 4 to 16")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), c.cast("string").alias("value")) for n, c in values.items()]))
     flat = rows.select(*[c.alias(n) for n, c in by.items()], each.alias("_item"))
     flat = flat.select(*by, "_item.field_name", "_item.value").filter(F.col("value").rlike(r"\S"))
     digest = F.md5(F.col("value"))
-    tail = F.conv(F.substring(digest, digits + 1, TAIL_BITS // 4), 16, 10).cast("bigint")
+    tail = F.conv(F.substring(digest, 5, TAIL_BITS // 4), 16, 10).cast("bigint")
     rank = F.when(F.col("_tail") == 0, TAIL_BITS + 1).otherwise(TAIL_BITS + 1 - F.length(F.bin("_tail")))
-    hashed = flat.select(*by, "field_name", F.conv(F.substring(digest, 1, digits), 16, 10).cast("int").alias("register"), tail.alias("_tail"))
+    hashed = flat.select(*by, "field_name", F.shiftright(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), 16 - precision).alias("register"), tail.alias("_tail"))
     return hashed.groupBy(*by, "field_name", "register").agg(F.max(rank).cast("int").alias("rank"))
 
 
@@ -60,7 +59,7 @@ def merge_groupings(registers: DataFrame, groupings: dict[str, list[str]]) -> Da
     return merge_registers(spread, ["grouping", *keys])
 
 
-def estimate(registers: DataFrame, by: list[str], *, precision: int = 12) -> DataFrame:
+def estimate(registers: DataFrame, by: list[str], *, precision: int = PRECISION) -> DataFrame:
     """``*by, field_name, estimate, std_error, relative_error``: one row per group that has a value."""
     m = 1 << precision
     sums = registers.groupBy(*by, "field_name").agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("_hit"), F.count("*").alias("_used"))

@@ -174,7 +174,7 @@ items as (
   union all
   select cast("timestamp" as date), tenant_id, 'sql_hash', nullif(lower(regexp_replace(sql_hash, '^\s+|\s+$', '', 'g')), '') from audit_record
 ), hashed as (
-  select day, tenant_id, field_name, cast(concat('0x', substr(md5(value), 1, 3)) as integer) as register, cast(concat('0x', substr(md5(value), 4, 13)) as bigint) as tail
+  select day, tenant_id, field_name, cast(concat('0x', substr(md5(value), 1, 4)) as integer) >> 2 as register, cast(concat('0x', substr(md5(value), 5, 13)) as bigint) as tail
   from items where regexp_matches(value, '\S')
 ), registers as (
   select day, tenant_id, field_name, register, max(case when tail = 0 then 53 else 53 - length(format('{:b}', tail)) end)::integer as rank
@@ -190,11 +190,11 @@ SQL = {
   union all select 'tenant', null::date, tenant_id, field_name, register, max(rank) from registers group by tenant_id, field_name, register
   union all select 'day_tenant', day, tenant_id, field_name, register, rank from registers
 ), sums as (
-  select grouping, day, tenant_id, field_name, sum(pow(2.0, -rank)) as hit, (4096 - count(*)) / 4096.0::double as empty from merged group by all
+  select grouping, day, tenant_id, field_name, sum(pow(2.0, -rank)) as hit, (16384 - count(*)) / 16384.0::double as empty from merged group by all
 ), counts as (
-  select *, 4096 * 4096 / (2 * ln(2)) / (hit + 4096 * (empty + list_sum([pow(empty, pow(2.0, k)) * pow(2.0, k - 1) for k in range(1, 31)]))) as n from sums
+  select *, 16384 * 16384 / (2 * ln(2)) / (hit + 16384 * (empty + list_sum([pow(empty, pow(2.0, k)) * pow(2.0, k - 1) for k in range(1, 31)]))) as n from sums
 )
-select grouping, day, tenant_id, field_name, cast(round(n) as bigint) as estimate, round(n * 0.01625, 1) as std_error, 0.01625::double as relative_error from counts""",
+select grouping, day, tenant_id, field_name, cast(round(n) as bigint) as estimate, round(n * 0.008125, 1) as std_error, 0.008125::double as relative_error from counts""",
 }
 
 _TERMS = r"""
