@@ -1,11 +1,12 @@
 """Evaluation records that also stand, exactly or almost, in the training split.
 
-Texts are normalised and equal ones become one class. Of each evaluation class, passages (windows of
-three tokens, and every name, code, number or date by itself) go into Aho-Corasick automata, sharded so
-that no automaton holds more than a bounded block of classes; every training class is scanned by the
-automata of its shard, the matched intervals are merged, and the share of an evaluation text they cover
-makes it a candidate. An exact check follows: names, codes, numbers and dates must be the same ones, and
-the other words the same up to small edits.
+Texts are normalised and equal ones become one class. Of each evaluation class, passages (every name,
+code, number or date by itself and the windows of three tokens around them; windows of two where there
+are none) go into Aho-Corasick automata, sharded so that no automaton holds more than a bounded block of
+classes. Every training class is scanned by the automata of its shard and the matched intervals are
+merged into the coverage of each evaluation text. One whose names are all covered, or of which enough is
+where it has none, is a candidate. An exact check follows: names, codes, numbers and dates must be the
+same ones, and the other words the same up to small edits. No step before the check loses what passes it.
 
 Shards follow from the check and lose nothing: two texts with the same names share the rarest of them,
 so that token is the shard key. Texts without any use the prefix principle: if at least four fifths of
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LEAST_COVERED, LEAST_ALIKE, LEAST_ALIKE_PLAIN, NAME_SHARE = 3, 0.3, 0.6, 0.8, 0.9
+WINDOW, WINDOW_PLAIN, LEAST_COVERED, LEAST_ALIKE, LEAST_ALIKE_PLAIN, NAME_SHARE = 3, 2, 0.3, 0.6, 0.8, 0.9
 #: Evaluation and training classes that one automaton meets at most.
 BLOCK = 20_000
 _SALTS = 8
@@ -194,11 +195,9 @@ def alike(a: list[str], a_names: list[bool], b: list[str], b_names: list[bool])
 
 def passages(tokens: list[str], names: list[bool]) -> list[tuple[str, int, int]]:
     """Texts to look for, each with the tokens (first, one past the last) it stands for."""
-    n = len(tokens)
-    if n < WINDOW:
-        spans = [(0, n)] if n else []
-    else:
-        spans = [(i, i + WINDOW) for i in range(n - WINDOW + 1) if not any(names) or any(names[i : i + WINDOW])]
+    n, some = len(tokens), any(names)
+    size = min(n, WINDOW if some else WINDOW_PLAIN)
+    spans = [(i, i + size) for i in range(n - size + 1) if size and (not some or any(names[i : i + size]))]
     spans += [(i, i + 1) for i in range(n) if names[i]]
     return [(f" {' '.join(tokens[i:j])} ", i, j) for i, j in spans]
 
@@ -271,8 +270,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             hits = {number for _, number in machine.iter(f" {' '.join(tokens)} ")}
             for name, e_tokens, e_names, wanted in near:
-                share = covered([(i, j) for number, i, j in wanted if number in hits]) / len(e_tokens)
-                if share < LEAST_COVERED:
+                spans = [(i, j) for number, i, j in wanted if number in hits]
+                share = covered(spans) / len(e_tokens)
+                inside = {i for i, j in spans for i in range(i, j)}
+                if not (all(i in inside for i, named in enumerate(e_names) if named) if any(e_names) else share >= LEAST_COVERED):
                     continue
                 # queries are in one form by now: only the same query is the same
                 same = name == row["class"]
