@@ -11,6 +11,7 @@ PLAN_NODES = frozenset(
 REFUSED_NODES = {
     "RelationTimeTravel": "sql.forbidden",
     "Sample": "sql.forbidden",
+    "PipeOperator": "sql.forbidden",
     "UnresolvedInlineTable": "sql.forbidden",
     "UnresolvedTableValuedFunction": "sql.table_function",
     "UnresolvedTVFAliases": "sql.table_function",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that their Python can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_quillgate_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quillgate-")
+    for f in here.rglob("*.py"):
+        target = Path(folder, "src", here.name, f.relative_to(here))
+        target.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copy(f, target)
+    context.addPyFile(shutil.make_archive(f"{folder}/quillgate-package", "zip", f"{folder}/src"))
+    context._quillgate_shipped = True
