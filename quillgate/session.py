@@ -25,7 +25,7 @@ from quillgate.plans.catalog import Catalog, Ref
 from quillgate.plans.compile import Compiled, column, compile_metric, compile_plan, predicate
 from quillgate.plans.graph import only_way, shortest_ways
 from quillgate.plans.ir import Compare, Plan, Predicate
-from quillgate.plans.issues import Issue, Rejected, reject
+from quillgate.plans.issues import Rejected, reject
 from quillgate.sqlguard.guard import Approved, Guard
 from quillgate.sqlguard.tree import as_dataframe, parse, with_tie_break
 
@@ -112,14 +112,7 @@ class GovernedSession:
         self.audit = audit
         self._sources = sources
         self._filtered: dict[str, DataFrame] = {}
-        self.unregistered: dict[str, Issue] = {}
-        for table in self.catalog.tables:
-            try:
-                rows = self.filtered(table.name)
-            except Rejected as e:
-                self.unregistered[table.name] = e.issues[0]
-                continue
-            rows.select(*[f"`{c.name}`" for c in table.columns if c.pii != "high"]).createOrReplaceTempView(table.name)
+        self._views: set[str] = set()
 
     # --- tables ------------------------------------------------------------------------------------
 
@@ -128,10 +121,15 @@ class GovernedSession:
         df = self.spark.read.parquet(source) if isinstance(source, str) else source(self.spark)
         return df.select(*[f"`{c.name}`" for c in self.full.by_name[table].columns])
 
+    def view(self, table: str) -> None:
+        """Makes a table's view, the first time it is read; a table is not opened before."""
+        if table not in self._views:
+            readable = [f"`{c.name}`" for c in self.catalog.by_name[table].columns if c.pii != "high"]
+            self.filtered(table).select(*readable).createOrReplaceTempView(table)
+            self._views.add(table)
+
     def filtered(self, table: str) -> DataFrame:
         """All approved columns (high PII too) of the rows the principal may see; for checked plans."""
-        if table in self.unregistered:
-            raise Rejected([self.unregistered[table]])
         if table not in self._filtered:
             df = self.raw(table).alias(table)
             others: dict[str, list[Predicate]] = {}
@@ -176,8 +174,7 @@ class GovernedSession:
         parsed = parse(self.spark, text)
         approved = Guard(self.catalog).check(parsed.root)
         for t in sorted(approved.tables):
-            if t in self.unregistered:
-                raise Rejected([self.unregistered[t]])
+            self.view(t)
         limit = min(approved.limit or self.catalog.max_limit, self.catalog.max_limit)
         try:
             df = as_dataframe(self.spark, parsed.jvm_plan)

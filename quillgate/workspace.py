@@ -42,6 +42,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from too few splits for the cores there are, dealt out to all; any other as it is.
+
+    For a small table whose rows are costly to work on; a large one has more splits than cores.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    splits = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table if splits >= cores else table.repartition(cores)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -185,5 +185,6 @@ def test_principal_sees_only_allowed_tables(spark):
 
 
 def test_views_stay_in_their_session(spark, session):
+    session.view("buyer")
     assert not spark.catalog.tableExists("sale")
     assert "mail" not in session.spark.table("buyer").columns
