@@ -118,6 +118,7 @@ def run_dedup(
     delivery: Column,
     event_time: Column,
     watermark: str = "7 days",
+    buckets: int | None = None,
     root: str | None = None,
 ) -> DedupRun:
     """Drain ``stream`` (whatever is available now) and list the rows that repeat a message.
@@ -125,12 +126,14 @@ def run_dedup(
     ``message`` is 16 bytes or null, ``delivery`` a unique bigint. Rows whose message or delivery
     number is null repeat nothing and are left out; a row without event time is found as any other.
     An empty stream gives no row.
-    Other columns, whatever their names, are not touched. The folder ``root`` holds the
+    Other columns, whatever their names, are not touched. The state is held in ``buckets`` (twice the
+    shuffle partitions unless given; fixed for a ``root``), 32 bytes a message seen within the watermark:
+    choose as many as keep a bucket at some megabytes. The folder ``root`` holds the
     checkpoint: starting again with the same ``root`` continues where the last run ended.
     """
     spark = stream.sparkSession
     root = root or fresh_dir(spark, "dedup")
-    width = shuffle_width(spark)
+    buckets = buckets or 2 * shuffle_width(spark)
     repeats_path, ledger_path = f"{root}/repeats", f"{root}/ledger"
     # a null event time is later than any watermark, so such rows never leave the store early
     event_ms = F.coalesce(F.unix_millis(event_time.cast("timestamp")), F.lit(_NO_TIME))
@@ -141,7 +144,7 @@ def run_dedup(
         .mapInArrow(_combine, "message binary, delivery bigint, event_ms bigint, again boolean")
         .withColumn("event_at", F.when(F.col("event_ms") < _NO_TIME, F.timestamp_millis("event_ms")))
         .withWatermark("event_at", watermark)
-        .withColumn("bucket", F.pmod(bucket, F.lit(2 * width)))
+        .withColumn("bucket", F.pmod(bucket, F.lit(buckets)))
     )
     verdicts = rows.groupBy("bucket").applyInPandasWithState(
         _watch,
@@ -194,10 +197,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def stream_table(spark: SparkSession, path: str, bytes_per_batch: int = 128 << 20) -> DataFrame:
-    """A Parquet table as a stream whose batches hold about ``bytes_per_batch`` of files."""
+def stream_table(spark: SparkSession, path: str, *, batches: int = 16, least_bytes: int = 128 << 20) -> DataFrame:
+    """A Parquet table as a stream of at most about ``batches`` micro-batches.
+
+    Every batch looks up what it takes for new in the ledger of those before, so their number is bounded
+    whatever the size of the table; a small table isn't cut below ``least_bytes``.
+    """
     schema = spark.read.parquet(path).schema
     files, target = _file_system(spark, path)
+    size = files.getContentSummary(target).getLength()
     if files.getFileStatus(target).isFile():
         path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a pattern
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max(least_bytes, -(-size // batches))).parquet(path)
