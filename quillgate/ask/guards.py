@@ -1,11 +1,13 @@
-"""What is asked back, or refused, before and after planning."""
+"""What is asked back, or refused, before and after planning; none of it depends on a model."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from quillgate.plans.catalog import Catalog
+from quillgate.plans.catalog import Catalog, Ref
+from quillgate.plans.ir import Between, Compare, Like, Literal, Member, Plan
 
 MOST_CHARACTERS = 2000
 
@@ -16,14 +18,32 @@ class Clarify:
     message: str
 
 
-_SQL_TEXT = re.compile(r"\b(select\s+.+\s+from|insert\s+into|update\s+\w+\s+set|delete\s+from|drop\s+table|union\s+(all\s+)?select)\b", re.I | re.S)
-_AVERAGE = re.compile(r"\b(average|mean|avg)\b", re.I)
+_SQL_TEXT = re.compile(r"^\s*(select|with|insert|update|delete|drop|alter|truncate|merge|create)\b|\bselect\s+.+\s+from\b|\bunion\s+(all\s+)?select\b", re.I | re.S)
+_AVERAGE = re.compile(r"\b(average|averages|mean|avg)\b", re.I)
 _COUNT = re.compile(r"\b(how many|number of|count)\b", re.I)
+_SINGLE = re.compile(r"\bwhich\s+(\w+)\s+(has|have|had|is|was|made|sold|bought|spent)\b.*\b(most|fewest|highest|lowest|largest|smallest|biggest|least|best|worst)\b", re.I)
+_ARITHMETIC = re.compile(r"\b(ratio|percent(age)?|share of|growth|proportion|per cent|divided by|difference between|correlation|median)\b|%", re.I)
+_PER = re.compile(r"\b(?:average|mean|avg)\b.*?\bper\s+(\w+)", re.I)
 
+# fixed values: words of a question that speak of no thing in the data
+COMMON_WORDS = frozenset(
+    "a about above across after all also amount an and any are as at average be been before below between but by can code compute could count data date did different "
+    "do does each every fewest find first for from give group had has have highest how i in into is it its largest last least less list lowest made many me mean "
+    "month more most much name names no not number of on one only or order our out over per please quarter rank rows same second show since smallest some sort than that the "
+    "their them then there these they third this those time to top total totals type under up us value was we week were what when where which who whose why will with within year you".split()
+)
 
-def _words(text: str) -> set[str]:
-    words = set(re.findall(r"[a-z0-9]+", text.lower()))
-    return words | {w.removesuffix("s") for w in words}
+
+def words(text: str) -> set[str]:
+    """Words of a text and their singulars."""
+    found = set(re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text).lower().replace("_", " ")))
+    return found | {w.removesuffix("s") for w in found} | {w[:-3] + "y" for w in found if w.endswith("ies")}
+
+
+def _named(name: str) -> set[str]:
+    """How a table or column may be called: its words, and without a one-letter prefix."""
+    bare = re.sub(r"^[a-z]{1,2}_", "", name)
+    return {w for w in words(name) | words(bare) if len(w) > 2}
 
 
 def before_planning(question: str, catalog: Catalog) -> Clarify | None:
@@ -35,10 +55,10 @@ def before_planning(question: str, catalog: Catalog) -> Clarify | None:
         return Clarify("sql_in_question", "ask in words; query text isn't read")
     if not catalog.tables:
         return Clarify("no_access", "no table may be read")
-    asked = _words(question)
-    if hit := sorted(n for n in catalog.high_pii_names if _words(n.replace("_", " ")) <= asked):
+    asked = words(question)
+    if hit := sorted(n for n in catalog.high_pii_names if words(n.replace("_", " ")) <= asked):
         return Clarify("restricted_request", f"{hit[0]} can't be shown")
-    named = [m.id for m in catalog.metrics if _words(m.id.replace("_", " ")) <= asked]
+    named = [m.id for m in catalog.metrics if words(m.id.replace("_", " ")) <= asked]
     if len(named) > 1:
         longest = max(named, key=len)
         if any(not set(n.split("_")) <= set(longest.split("_")) for n in named):
@@ -46,6 +66,29 @@ def before_planning(question: str, catalog: Catalog) -> Clarify | None:
     return None
 
 
+def unknown_terms(question: str, catalog: Catalog) -> list[str]:
+    """Words of the question that match nothing in the catalog; constants (numbers, quoted, capitalised) don't count."""
+    known = set(COMMON_WORDS)
+    for t in catalog.tables:
+        known |= _named(t.name) | words(t.description)
+        for c in t.columns:
+            known |= _named(c.name) | words(c.description) | {w for v in c.values for w in words(v)}
+    for s in catalog.synonyms:
+        known |= words(s.term)
+    for m in catalog.metrics:
+        known |= words(m.id) | words(m.description)
+    plain = re.sub(r"'[^']*'|\"[^\"]*\"", " ", question)
+    rest = re.findall(r"(?<![\w])[a-z][a-z]{2,}", re.sub(r"(?<!^)\b[A-Z]\w*", " ", plain[:1].lower() + plain[1:]))
+    return [w for w in dict.fromkeys(rest) if not ({w, w.removesuffix("s"), w.removesuffix("ed"), w.removesuffix("ing")} & known)]
+
+
+def out_of_scope(question: str, catalog: Catalog) -> Clarify | None:
+    """Most of what the question speaks of is nothing the catalog knows."""
+    lost = unknown_terms(question, catalog)
+    known = [w for w in words(question) if w not in COMMON_WORDS and w not in lost and len(w) > 2]
+    return Clarify("out_of_scope", f"nothing here is called {', '.join(lost)}") if lost and len(lost) > len(known) else None
+
+
 def dropped_constants(question: str, sql: str) -> list[str]:
     """Quoted texts and numbers of the question that the query leaves out."""
     wanted = re.findall(r"'([^']+)'|\"([^\"]+)\"|(?<![\w.-])(\d{2,})(?![\w.-])", question)
@@ -61,3 +104,137 @@ def dropped_measures(question: str, sql: str) -> list[str]:
     if _COUNT.search(question) and not re.search(r"\bcount\s*\(|\bsum\s*\(", sql, re.I):
         out.append("dropped_count")
     return out
+
+
+# --- plans -------------------------------------------------------------------------------------------
+
+
+def _dropped_average(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    if _AVERAGE.search(question) and not any(a.fn == "avg" for a in plan.aggregations):
+        return Clarify("dropped_average", "an average was asked for and none is computed")
+    return None
+
+
+def _dropped_count(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    if _COUNT.search(question) and not plan.aggregations:
+        return Clarify("dropped_count", "a number was asked for and rows are listed")
+    return None
+
+
+def _inexpressible(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    if hit := _ARITHMETIC.search(question):
+        return Clarify("inexpressible_request", f"{hit[0]!r} asks for arithmetic between aggregates; only a metric can do that")
+    return None
+
+
+def _list_for_one(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    asked = _SINGLE.search(question)
+    if asked and plan.limit != 1 and not asked[1].endswith("s"):
+        return Clarify("ranked_list_for_singular_question", f"one {asked[1]} was asked for")
+    return None
+
+
+def _other_entity(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    """\"how many X\" must count rows of X or different X."""
+    asked = re.search(r"\b(?:how many|number of|count of)\s+(?:distinct\s+|different\s+|unique\s+)?(\w+)", question, re.I)
+    if not asked:
+        return None
+    meant = {t.name for t in catalog.tables if words(asked[1]) & words(t.name)}
+    meant |= {s.target.split(".")[0] for s in catalog.synonyms if words(s.term) & words(asked[1])}
+    counted = {a.column.table if a.column else plan.source for a in plan.aggregations if a.fn in ("count", "count_distinct")}
+    linked = {k.many_ref.table for k in catalog.join_keys for a in plan.aggregations if a.fn == "count_distinct" and a.column == k.many_ref and k.one_ref.table in meant}
+    if meant and counted and not (counted & (meant | linked)):
+        return Clarify("counted_other_entity", f"{asked[1]} were asked for, rows of {', '.join(sorted(counted))} are counted")
+    return None
+
+
+def _averaged_other(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    """\"average x per Y\" is an average over rows of Y."""
+    asked = _PER.search(question)
+    averaged = {a.column.table for a in plan.aggregations if a.fn == "avg" and a.column}
+    if not asked or not averaged:
+        return None
+    meant = {t.name for t in catalog.tables if words(asked[1]) & words(t.name)}
+    if meant and not averaged <= meant:
+        return Clarify("averaged_per_other_entity", f"an average per {asked[1]} is a ratio; rows of {', '.join(sorted(averaged))} are averaged")
+    return None
+
+
+def _constants_of(plan: Plan) -> list[Literal]:
+    out: list[Literal] = []
+    for f in plan.filters:
+        if isinstance(f, Compare) and isinstance(f.value, Literal):
+            out.append(f.value)
+        elif isinstance(f, Member):
+            out += f.values
+        elif isinstance(f, Between):
+            out += [f.low, f.high]
+        elif isinstance(f, Like):
+            out.append(Literal("string", f.pattern.strip("%")))
+    return out
+
+
+def _unmatched_values(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    """Quoted values are filtered on, and filters don't make values up."""
+    flat = re.sub(r"[^0-9a-z]", "", question.lower())
+    held = [re.sub(r"[^0-9a-z]", "", str(v.plain()).lower()) for v in _constants_of(plan)]
+    for quoted in re.findall(r"'([^']+)'|\"([^\"]+)\"", question):
+        text = re.sub(r"[^0-9a-z]", "", "".join(quoted).lower())
+        if text and text not in held:
+            return Clarify("dropped_literals", f"nothing is filtered by {''.join(quoted)!r}")
+    listed = {re.sub(r"[^0-9a-z]", "", v.lower()) for t in catalog.tables for c in t.columns for v in c.values}
+    for v, text in zip(_constants_of(plan), held, strict=True):
+        stem = text[: max(4, len(text) - 2)]
+        if v.type == "string" and text and stem not in flat and text not in listed:
+            return Clarify("unmatched_values", f"{v.value!r} isn't in the question")
+    return None
+
+
+def _opaque_keys(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    """Groups shown by a number where the question names the thing."""
+    for c in plan.group_by:
+        column = catalog.column(c)
+        if column is not None and column.dtype == "int" and re.search(r"(id|key)$", c.column, re.I) and not re.search(r"\b(id|key|number)\b", question, re.I):
+            return Clarify("opaque_grouping_keys", f"{c} is a number without a meaning; group by a name")
+    return None
+
+
+def _missing_concepts(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    """Tables and columns the question names that the plan never touches."""
+    used = {t.lower() for t in plan.tables}
+    touched: set[str] = set()
+    for _, _, ref in plan.reads():
+        touched |= _named(ref.column)
+    for t in plan.tables:
+        touched |= _named(t)
+        if plan.is_list and t in catalog.by_name:
+            touched |= {w for c in catalog.by_name[t].columns for w in _named(c.name)}
+    asked = words(question) - COMMON_WORDS
+    meant = {s.target: s.term for s in catalog.synonyms if words(s.term) <= words(question)}
+    lost = [term for target, term in meant.items() if target.split(".")[0].lower() not in used]
+    for t in catalog.tables:
+        hit = _named(t.name) & asked - touched
+        if hit and t.name.lower() not in used:
+            lost += sorted(hit)[:1]
+    return Clarify("missing_concepts", f"{lost[0]} was asked about and isn't in the plan") if lost else None
+
+
+def _unrelated_metric(question: str, metric_id: str) -> Clarify | None:
+    return None if {w for w in words(metric_id) if len(w) > 3} & words(question) else Clarify("unrelated_metric", f"the metric {metric_id} has no word of the question")
+
+
+PLAN_GUARDS: tuple[Callable[[str, Plan, Catalog], Clarify | None], ...] = (
+    _inexpressible, _dropped_count, _dropped_average, _averaged_other, _other_entity, _list_for_one, _unmatched_values, _opaque_keys, _missing_concepts,
+)
+
+
+def after_planning(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+    """The first thing that speaks against a plan as an answer to the question."""
+    return next((found for guard in PLAN_GUARDS if (found := guard(question, plan, catalog))), None)
+
+
+def metric_guard(question: str, metric_id: str) -> Clarify | None:
+    return _unrelated_metric(question, metric_id)
+
+
+__all__ = ["Clarify", "Ref", "after_planning", "before_planning", "dropped_constants", "dropped_measures", "metric_guard", "out_of_scope", "unknown_terms"]

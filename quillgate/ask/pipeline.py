@@ -12,20 +12,20 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from quillgate.ask.guards import Clarify, before_planning, dropped_constants
+from quillgate.ask.guards import Clarify, after_planning, before_planning, dropped_constants, metric_guard
 from quillgate.evidence.bundle import Evidence, open_review, signed_review
 from quillgate.operators.compare import fingerprint
 from quillgate.operators.ground import ground
 from quillgate.plans.catalog import Catalog
+from quillgate.plans.explain import explain
+from quillgate.plans.ir import Plan
 from quillgate.plans.issues import Rejected
 from quillgate.session import GovernedSession, Options, Principal, Result, TimedOut
 from quillgate.sqlguard.tree import parse
 
-MOST_CHARACTERS = 2000
-
 
 class Client(Protocol):
-    """Whatever turns a question and a catalog text into a proposal: ``{"sql": ...}`` or ``{"metric": ...}``."""
+    """Turns a question and a catalog text into a proposal: ``{"sql": ...}``, ``{"plan": ...}``, ``{"metric": ...}`` or ``{"refuse": code}``."""
 
     def propose(self, question: str, catalog_text: str, problems: list[str]) -> dict[str, Any]: ...
 
@@ -138,8 +138,19 @@ class Asker:
                 return Clarify(str(proposal["refuse"]), "the planner declined")
             try:
                 if "metric" in proposal:
+                    if against := metric_guard(question, proposal["metric"]):
+                        problems = [f"{against.code}: {against.message}"]
+                        continue
                     compiled = self.session.metric(proposal["metric"])
                     df, query_hash, shown = compiled.df, compiled.plan_hash, f"metric {proposal['metric']}"
+                elif "plan" in proposal:
+                    # joins are the catalog's to find, whatever the client proposes
+                    plan = Plan.from_dict({k: v for k, v in proposal["plan"].items() if k != "joins"})
+                    compiled = self.session.plan(plan)
+                    if against := after_planning(question, compiled.plan, self.catalog):
+                        problems = [f"{against.code}: {against.message}"]
+                        continue
+                    df, query_hash, shown = compiled.df, compiled.plan_hash, explain(compiled.plan)
                 else:
                     sql = self._grounded(str(proposal.get("sql", "")))
                     if missing := dropped_constants(question, sql):
@@ -150,6 +161,9 @@ class Asker:
             except Rejected as e:
                 problems = [f"{i.code}: {i.message}" for i in e.issues]
                 continue
+            except (ValueError, KeyError, TypeError) as e:
+                problems = [f"plan.malformed: {e}"]
+                continue
             if not run:
                 return Reading(shown, query_hash, len(df.columns), Result(df.columns, [], False))
             try:

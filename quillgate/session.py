@@ -27,11 +27,15 @@ from quillgate.plans.graph import only_way, shortest_ways
 from quillgate.plans.ir import Compare, Plan, Predicate
 from quillgate.plans.issues import Rejected, reject
 from quillgate.sqlguard.guard import Approved, Guard
+from quillgate.sqlguard.rewrite import show_ranking_measure
 from quillgate.sqlguard.tree import as_dataframe, parse, with_tie_break
 
 Source = str | Callable[[SparkSession], DataFrame]
 
 
+MOST_COMPILED = 256
+
+
 @dataclass(frozen=True)
 class Principal:
     """Who asks: identity, tenant, tables they may see (None: all) and row filters on them."""
@@ -113,6 +117,8 @@ class GovernedSession:
         self._sources = sources
         self._filtered: dict[str, DataFrame] = {}
         self._views: set[str] = set()
+        self._compiled: dict[str, Compiled] = {}
+        self._lock = threading.Lock()
 
     # --- tables ------------------------------------------------------------------------------------
 
@@ -164,14 +170,28 @@ class GovernedSession:
     # --- queries -----------------------------------------------------------------------------------
 
     def plan(self, plan: Plan) -> Compiled:
-        return compile_plan(plan, self.catalog, self.filtered)
+        """Checks and lowers a plan; the latest plans are kept, as they are asked for again and again."""
+        key = plan.digest()
+        with self._lock:
+            found = self._compiled.pop(key, None)
+        found = found or compile_plan(plan, self.catalog, self.filtered)
+        with self._lock:
+            self._compiled[key] = found
+            while len(self._compiled) > MOST_COMPILED:
+                self._compiled.pop(next(iter(self._compiled)))
+        return found
 
     def metric(self, metric_id: str, limit: int | None = None) -> Compiled:
         return compile_metric(metric_id, self.catalog, self.filtered, limit=limit)
 
-    def query(self, text: str) -> Query:
-        """Checks a query of the SQL dialect; gives its DataFrame with limit and tie-break in place."""
+    def query(self, text: str, *, show_measures: bool = False) -> Query:
+        """Checks a query of the SQL dialect; gives its DataFrame with limit and tie-break in place.
+
+        With ``show_measures`` a hidden aggregate that ranks or filters the groups becomes a column.
+        """
         parsed = parse(self.spark, text)
+        if show_measures:
+            parsed = show_ranking_measure(self.spark, parsed) or parsed
         approved = Guard(self.catalog).check(parsed.root)
         for t in sorted(approved.tables):
             self.view(t)

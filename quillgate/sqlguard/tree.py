@@ -78,6 +78,22 @@ class Parsed:
     jvm_plan: Any
     digest: str
 
+    @classmethod
+    def of(cls, jvm_plan: Any) -> Parsed:
+        raw = json.loads(jvm_plan.toJSON())
+        digest = hashlib.sha256(json.dumps(_stable(raw), sort_keys=True).encode()).hexdigest()
+        return cls(_tree(iter(raw)), jvm_plan, digest)
+
+    def but(self, jvm_plan: Any) -> Parsed:
+        return Parsed.of(jvm_plan)
+
+
+def _stable(v: Any) -> Any:
+    """The JSON of a plan without positions in the text and numbers given out anew each time."""
+    if isinstance(v, dict):
+        return {k: _stable(x) for k, x in v.items() if k not in ("origin", "exprId", "jvmId")}
+    return [_stable(x) for x in v] if isinstance(v, list) else v
+
 
 def parse(spark: SparkSession, text: str) -> Parsed:
     """Parses without running anything; what isn't one statement is refused by the parser."""
@@ -87,15 +103,7 @@ def parse(spark: SparkSession, text: str) -> Parsed:
         message = str(e).splitlines()[0]
         after = text.rstrip().rstrip(";")
         reject("sql.statements" if ";" in after and "end of input" not in message else "sql.parse", "$", message, "parse")
-    raw = json.loads(plan.toJSON())
-
-    def stable(v: Any) -> Any:
-        if isinstance(v, dict):
-            return {k: stable(x) for k, x in v.items() if k not in ("origin", "exprId", "jvmId")}
-        return [stable(x) for x in v] if isinstance(v, list) else v
-
-    digest = hashlib.sha256(json.dumps(stable(raw), sort_keys=True).encode()).hexdigest()
-    return Parsed(_tree(iter(raw)), plan, digest)
+    return Parsed.of(plan)
 
 
 def as_dataframe(spark: SparkSession, jvm_plan: Any) -> DataFrame:

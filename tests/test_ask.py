@@ -90,3 +90,51 @@ def test_verdicts():
     low, high = wilson(0, 12)
     assert low == 0 and round(high, 3) == 0.243 and wilson(0, 0) == (0.0, 1.0)
     assert agreement([["a", "a", "b"], ["a", "b", None]], 2) == {"n": 2, "answered": 1, "refused": 1}
+
+
+def test_plans_are_proposed_and_guarded(session):
+    plan = {"source": "sale", "aggregations": [{"fn": "avg", "column": "sale.total", "alias": "a"}], "limit": 1}
+    out = _asker(session, {"What is the average total of sales?": [{"plan": plan}]}).ask("What is the average total of sales?")
+    assert out.status == "ok" and round(out.rows[0][0], 3) == 2.0
+    wrong = {"source": "sale", "aggregations": [{"fn": "sum", "column": "sale.total", "alias": "a"}], "limit": 1}
+    out = _asker(session, {"What is the average total of sales?": [{"plan": wrong}]}, readings=1).ask("What is the average total of sales?")
+    assert out.status == "refused" and "dropped_average" in out.message
+    out = _asker(session, {"sales?": [{"plan": {"source": "sale", "colour": 1}}]}, readings=1).ask("sales?")
+    assert "plan.malformed" in out.message
+    out = _asker(session, {"How many visits?": [{"metric": "per_buyer"}]}, readings=1).ask("How many visits?")
+    assert "unrelated_metric" in out.message
+
+
+@pytest.mark.parametrize(
+    "question, build, code",
+    [
+        ("What share of sales is paid?", lambda q: q("sale").agg("count", None, "n"), "inexpressible_request"),
+        ("How many sales are there?", lambda q: q("sale"), "dropped_count"),
+        ("What is the average total per buyer?", lambda q: q("sale").agg("avg", "sale.total", "a"), "averaged_per_other_entity"),
+        ("How many buyers are there?", lambda q: q("sale").agg("count", None, "n"), "counted_other_entity"),
+        ("How many buyers bought something?", lambda q: q("sale").agg("count_distinct", "sale.buyer_id", "n"), None),
+        ("Which country has the most sales?", lambda q: q("sale").by("country.title").agg("count", None, "n").order("n", descending=True), "ranked_list_for_singular_question"),
+        ("Sales with the note 'late'", lambda q: q("sale"), "dropped_literals"),
+        ("Sales that are late", lambda q: q("sale").where("sale.note", "eq", "urgent"), "unmatched_values"),
+        ("Sales for each buyer", lambda q: q("sale").by("sale.buyer_id").agg("count", None, "n"), "opaque_grouping_keys"),
+        ("Sales and visits", lambda q: q("sale").agg("count", None, "n"), "missing_concepts"),
+        ("What is the total of sales?", lambda q: q("sale").agg("sum", "sale.total", "s"), None),
+    ],
+)
+def test_plan_guards(question, build, code):
+    from quillgate.ask.guards import after_planning
+    from quillgate.plans.builder import Query
+
+    found = after_planning(question, build(Query.over).limit(5).plan(), CATALOG)
+    assert (found.code if found else None) == code
+
+
+def test_scope_and_schema():
+    from quillgate.ask.guards import out_of_scope, unknown_terms
+    from quillgate.ask.prompt import prompt, proposal_schema
+
+    assert unknown_terms("How many visits to the moon were launched in Berlin?", CATALOG) == ["moon", "launched"]
+    assert out_of_scope("what is the weather on the moon", CATALOG).code == "out_of_scope" and out_of_scope("total of sales by country", CATALOG) is None
+    schema = str(proposal_schema(CATALOG))
+    assert "sale.total" in schema and "buyer.mail" not in schema and "per_buyer" in schema
+    assert "refused" in prompt("q", "c", ["sql.pii: no"])
