@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgate.functions.identity import folded
 from quillgate.llm import distinct, mixing, overlap, packing, quantiles, reading, terms
 from quillgate.llm.tokens import with_token_counts
-from quillgate.workspace import materialize, read_table
+from quillgate.workspace import materialize, read_table, spread
 
 # --- 2: distinct identifiers -----------------------------------------------------------------------
 
@@ -64,7 +64,7 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cases = read_table(spark, sf_dir, "eval_case").select("id", "split", "source", "question", "reference_sql")
+    cases = spread(read_table(spark, sf_dir, "eval_case").select("id", "split", "source", "question", "reference_sql"))
     fields = {"question": (F.col("question"), overlap.split_question), "reference_sql": (F.col("reference_sql"), overlap.split_query)}
     rows = overlap.split_records(cases, id=F.col("id"), split=F.col("split"), source=F.col("source"), fields=fields)
     rows = materialize(rows, "overlap-rows")
@@ -85,8 +85,9 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
-    return with_token_counts(docs, F.col("text")).drop("text")
+    """Documents without their text but with its size; written once, as counting tokens costs most of a run."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+    return materialize(with_token_counts(docs, F.col("text")).drop("text"), "document-sizes")
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -102,8 +103,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = materialize(_sized(spark, sf_dir), "document-sizes")
-    return packing.pack(sized, item=F.col("doc_id"), size=F.col("n_tokens"), capacities=list(_capacities(spark, sf_dir).values())).withColumnRenamed("item", "doc_id")
+    return packing.pack(_sized(spark, sf_dir), item=F.col("doc_id"), size=F.col("n_tokens"), capacities=list(_capacities(spark, sf_dir).values())).withColumnRenamed("item", "doc_id")
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +123,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     targets = read_table(spark, sf_dir, "mix_target").filter("source is not null").limit(10_000).collect()
-    sized = _sized(spark, sf_dir, "source")
-    sized = materialize(sized.withColumn("source", F.lower(F.trim("source"))), "mix-sizes")
+    sized = _sized(spark, sf_dir, "source").withColumn("source", F.lower(F.trim("source")))
     return mixing.mix_sources(
         sized,
         doc_id=F.col("doc_id"),
@@ -150,7 +149,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     featured = materialize(reading.with_features(docs, F.col("doc_id"), F.col("text")), "reading-features")
     model = reading.fit_readers(featured, read_table(spark, sf_dir, "reading_label"))
     return reading.reading_levels(featured, model)
