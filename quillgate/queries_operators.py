@@ -67,7 +67,12 @@ def profile_column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.column_statistics(read_table(spark, sf_dir, "track"))
 
 
-@_query()
+@_query(
+    "\nunion all ".join(
+        f"select '{a}.{c}' as many_side, '{b}.{c}' as one_side where (select count(*) from {a} x where {c} is not null and not exists (select 1 from {b} y where y.{c} = x.{c})) = 0 and (select count(*) = count(distinct {c}) from {b})"
+        for a, c, b in (("invoice", "customerid", "chinook_customer"), ("invoiceline", "invoiceid", "invoice"), ("invoiceline", "trackid", "track"), ("track", "genreid", "genre"))
+    )
+)
 def discover_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys found in the data of the invoice tables when none is declared."""
     from dataclasses import replace

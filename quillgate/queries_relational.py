@@ -222,6 +222,10 @@ SQL["sql_join_pre_aggregated"] = SQL["sql_join_pre_aggregated"].replace("sum(o.n
 SQL["sql_conditional_agg"] = SQL["sql_conditional_agg"].replace("sum(case when l_linestatus = 'O' then 1 else 0 end)", "cast(sum(case when l_linestatus = 'O' then 1 else 0 end) as bigint)")
 SQL["sql_window_row_number"] = SQL["sql_window_row_number"].replace("sum(k)", "cast(sum(k) as bigint)")
 SQL["sql_window_running_sum"] = SQL["sql_window_running_sum"].replace("max(run)", "cast(max(run) as bigint)")
+for _name in ("sql_window_rank", "sql_window_dense_rank"):
+    SQL[_name] = SQL[_name].replace("select r,", "select cast(r as integer) as r,")
+SQL["sql_string_functions"] = SQL["sql_string_functions"].replace("max(length(trim(p_name)))", "cast(max(length(trim(p_name))) as integer)")
+SQL["sql_date_functions"] = SQL["sql_date_functions"].replace("year(o_orderdate) as y, month(o_orderdate) as m", "cast(year(o_orderdate) as integer) as y, cast(month(o_orderdate) as integer) as m")
 SQL["sql_topk_tiebreak"] = "select l_orderkey, l_linenumber, l_quantity from lineitem order by l_quantity desc nulls last, l_orderkey, l_linenumber limit 25"
 SQL["sql_math_functions"] = SQL["sql_math_functions"].replace("max(floor(l_quantity / 7))", "cast(max(floor(l_quantity / 7)) as bigint)")
 _sql(
