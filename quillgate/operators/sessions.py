@@ -4,7 +4,8 @@ Rows are shuffled once by actor and time slice and sorted by actor and time (the
 sort); one linear scan over each partition then emits the sessions, holding no more than the
 session it is in. The slice (a day unless given) keeps a very busy actor from landing in one
 task. A session that may go on in the next slice is emitted as a fragment, and the few
-fragments are put in order and joined by the same scan.
+fragments are put in order and joined by the same scan. The pieces, far fewer than the events, are
+written to the shared folder in between.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgate.workspace import materialize
+
 _DAY_US = 86_400_000_000
 _PIECE = "actor string, start_us bigint, end_us bigint, n bigint, kinds array<string>, kind_counts array<bigint>"
 
@@ -141,6 +144,8 @@ def sessionize(
     )
     scan = _scan(gap_us)
     parts = pieces.repartition("actor", "slice").sortWithinPartitions("actor", "start_us").drop("slice").mapInArrow(scan, _PIECE)
+    # read twice below; written, the events are sorted and scanned once
+    parts = materialize(parts, "session-pieces")
     # rows from different slices of one actor can share a task and are then joined at once; what
     # lies within the gap of a slice's border may go on elsewhere
     start_in = F.pmod(F.col("start_us"), F.lit(slice_us))

@@ -25,9 +25,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def clear_workspace(spark: SparkSession) -> int:
+    """Deletes what this process has put in the shared folder; results that were read from it are gone then."""
+    gone = 0
+    while _MADE:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

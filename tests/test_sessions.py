@@ -69,3 +69,10 @@ def test_timestamps_without_kind_and_empty_input(spark):
     assert sessionize(df.limit(0), actor=F.col("who"), at=F.col("at")).count() == 0
     with pytest.raises(ValueError):
         sessionize(df, actor=F.col("who"), at=F.col("at"), slice_us=GAP)
+
+
+def test_workspace_is_cleared(spark):
+    from quillgate.workspace import clear_workspace, materialize
+
+    df = materialize(spark.range(3).toDF("a"), "some")
+    assert df.count() == 3 and clear_workspace(spark) >= 1 and clear_workspace(spark) == 0
