@@ -107,7 +107,7 @@ class DedupRun:
         """``delivery bigint``: every row that repeats a message, once."""
         if not self.batches:
             return spark.createDataFrame([], "delivery bigint")
-        found = spark.read.schema("delivery bigint, batch bigint").option("basePath", self.repeats_path).parquet(self.repeats_path)
+        found = spark.read.schema("delivery bigint, batch bigint").parquet(self.repeats_path)
         return found.select("delivery").distinct()
 
 
@@ -162,9 +162,10 @@ def run_dedup(
         staged = here.read.schema(_VERDICT).parquet(staged_path)
         kept = staged.filter("verdict = 'kept'").groupBy("message").agg(F.min("delivery").alias("delivery"))
         seen_before = staged.filter("verdict = 'repeat'").select("delivery")
-        earlier = [f"{ledger_path}/batch={n}" for n in range(number) if _exists(here, f"{ledger_path}/batch={n}")]
-        if earlier:
-            ledger = here.read.schema("message binary, delivery bigint").parquet(*earlier)
+        if number and _exists(here, ledger_path):
+            ledger = here.read.schema("message binary, delivery bigint, batch bigint").parquet(ledger_path)
+            # on a replay the batch's own rows may be there already
+            ledger = ledger.filter(F.col("batch") < number)
             ledger = ledger.groupBy("message").agg(F.min("delivery").alias("earlier"))
             looked_up = kept.join(ledger, "message", "left")
             late = looked_up.filter("earlier is not null and earlier <> delivery")
