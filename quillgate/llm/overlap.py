@@ -299,7 +299,10 @@ def split_records(records: DataFrame, *, id: Column, split: Column, source: Colu
 
 
 def overlapping_classes(rows: DataFrame, *, exact_fields: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """``field, train_class, eval_class, coverage, alike`` for the classes that overlap, over ``split_records``."""
+    """``field, train_class, eval_class, coverage, alike`` for the classes that overlap, over ``split_records``.
+
+    A class is named by 16 bytes that tell its field too.
+    """
     spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     exact = F.col("field").isin(list(exact_fields)) if exact_fields else F.lit(False)
@@ -348,13 +351,19 @@ def overlapping_classes(rows: DataFrame, *, exact_fields: tuple[str, ...] = (),
     return sharded.mapInArrow(_scan, "field string, train_class binary, eval_class binary, coverage double, alike double").distinct()
 
 
-def overlapping_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``train_id, eval_id``: every pair of records whose classes overlap in some field, once."""
-    member = rows.select("field", "class", "id", "train")
-    evals = member.filter("not train").select("field", F.col("class").alias("eval_class"), F.col("id").alias("eval_id"))
-    trains = member.filter("train").select("field", F.col("class").alias("train_class"), F.col("id").alias("train_id"))
-    pairs = classes.select("field", "train_class", "eval_class").join(evals, ["field", "eval_class"]).join(trains, ["field", "train_class"])
-    return pairs.select("train_id", "eval_id").distinct()
+def overlapping_pairs(rows: DataFrame, classes: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """``train_id, eval_id``: every pair of records whose classes overlap in some field, once.
+
+    A training class that overlaps with very many evaluation records meets them in blocks, so no task
+    makes more than ``block`` pairs for one training record.
+    """
+    evals = rows.filter("not train").select(F.col("class").alias("eval_class"), F.col("id").alias("eval_id"))
+    trains = rows.filter("train").select(F.col("class").alias("train_class"), F.col("id").alias("train_id"))
+    met = classes.select("train_class", "eval_class").join(evals, "eval_class").select("train_class", "eval_id")
+    blocks = met.groupBy("train_class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    met = met.join(blocks, "train_class").select("train_class", "eval_id", F.pmod(F.hash("eval_id"), F.col("blocks")).alias("part"))
+    trains = trains.join(blocks, "train_class").select("train_class", "train_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    return met.join(trains, ["train_class", "part"]).select("train_id", "eval_id").distinct()
 
 
 def overlap_report(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def _rows(spark, records):
 def _pairs(spark, records, **options):
     rows = _rows(spark, records)
     classes = O.overlapping_classes(rows, exact_fields=("reference_sql",), **options)
-    return {(r.train_id, r.eval_id) for r in O.overlapping_pairs(rows, classes).collect()}
+    return {(r.train_id, r.eval_id) for r in O.overlapping_pairs(rows, classes, **options).collect()}
 
 
 BASE = "What is the average freight among orders that Silsnor Traders delivers between 2018-04-09 and 2018-11-28 for each shipper?"
@@ -105,6 +105,11 @@ def test_against_brute_force(spark, block):
     assert _pairs(spark, records, block=block) == _brute(records)
 
 
+def test_one_text_in_very_many_records(spark):
+    records = [(f"t{i}", "train", "s", BASE, None) for i in range(40)] + [(f"e{i}", "dev", "s", BASE.lower(), None) for i in range(30)] + BACKGROUND
+    assert _pairs(spark, records, block=4) == {(f"t{i}", f"e{j}") for i in range(40) for j in range(30)}
+
+
 def test_report_nulls_and_empty_table(spark):
     records = [("t", "train", "a", BASE, None), ("t2", "train", "a", None, None), ("e", "test", None, BASE, None), ("n", None, "a", BASE, None), ("w", "dev", "a", "", None), ("x", "dev", "a", "...", " ")]
     rows = _rows(spark, records)
