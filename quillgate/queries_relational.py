@@ -11,6 +11,7 @@ from quillgate.plans.builder import Query
 from quillgate.plans.catalog import Ref
 from quillgate.plans.ir import Compare, Literal, Plan
 from quillgate.session import GovernedSession, Principal
+from quillgate.sqlguard.rewrite import case_insensitive_like
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -244,3 +245,13 @@ _sql(
     "select l_returnflag, count(*) as n from lineitem where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderpriority = '1-URGENT') group by 1",
     URGENT,
 )
+
+_RANKED = "select o_orderpriority from orders group by o_orderpriority having count(*) > 5 order by sum(o_totalprice) desc limit 4"
+QUERIES["ranking_measure_shown"] = lambda spark, sf_dir: governed(spark, sf_dir).query(_RANKED, show_measures=True).df
+SQL["ranking_measure_shown"] = (
+    "select o_orderpriority, sum(o_totalprice) as sum_o_totalprice, count(*) as count from orders group by o_orderpriority having count(*) > 5 order by 2 desc limit 4"
+)
+QUERIES["ilike_rewrite"] = lambda spark, sf_dir: governed(spark, sf_dir).sql(
+    case_insensitive_like("select p_brand, count(*) as n from part where p_type like 'st%' and p_name not like '%RED%' group by p_brand")
+)
+SQL["ilike_rewrite"] = "select p_brand, count(*) as n from part where p_type ilike 'st%' and p_name not ilike '%RED%' group by p_brand"
