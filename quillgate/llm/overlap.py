@@ -12,7 +12,8 @@ Shards follow from the check and lose nothing: two texts with the same names sha
 so that token is the shard key. Texts without any use the prefix principle: if at least four fifths of
 their tokens agree, the rarest fifth and one more of either share a token. A token that is the rarest of
 very many texts is split into blocks of both sides. What is a name is told from the whole corpus: a
-token with a digit, or a word that nearly always has a capital where sentence and layout don't ask for one.
+token with a digit, or a word that nearly always has a capital where sentence and layout don't ask for one
+and doesn't mostly begin sentences.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ _SEPARATOR = regex.compile(r"[-./:_]")
 _SQL = regex.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\p{N}+(?:\.\p{N}+)?|[\p{L}_][\p{L}\p{M}\p{N}_]*|<>|<=|>=|!=|\|\||\S")
 
 # the kinds of a token as the splitters report them: a word seen with or without a capital, a word whose
-# capital says nothing, a token that is surely a name or number, one that surely isn't
-LOWER, CAPITAL, UNTOLD, SURE, PLAIN = 0, 1, 2, 3, 4
+# capital says nothing, a token that is surely a name or number, one that surely isn't, a word that begins
+# a sentence or follows a quote, bracket or dash
+LOWER, CAPITAL, UNTOLD, SURE, PLAIN, START = 0, 1, 2, 3, 4, 5
+_OPENS = frozenset(".?!:;…\"'“”‘’«»()[]-–—")
 
 
 def clean(text: str) -> str:
@@ -52,7 +55,10 @@ def clean(text: str) -> str:
 
 def split_question(text: str | None) -> tuple[list[str], list[int], str]:
     """Tokens in lower case, their kinds, and the text that equal questions share."""
-    raw = _TOKEN.findall(clean(text)) if text else []
+    text = clean(text) if text else ""
+    found = list(_TOKEN.finditer(text))
+    raw = [m[0] for m in found]
+    gaps = [text[a.end() : b.start()] for a, b in zip(found, found[1:], strict=False)]
     lower = sum(w[0].islower() for w in raw)
     told = lower >= 0.4 * len(raw) and any(w[0].isupper() for w in raw[1:])
     tokens, kinds = [], []
@@ -60,8 +66,10 @@ def split_question(text: str | None) -> tuple[list[str], list[int], str]:
         tokens.append(_SEPARATOR.sub("", w).casefold())
         if any(c.isnumeric() for c in w):
             kinds.append(SURE)
-        elif not told or i == 0:
+        elif not told:
             kinds.append(UNTOLD)
+        elif i == 0 or not _OPENS.isdisjoint(gaps[i - 1]):
+            kinds.append(START)
         else:
             kinds.append(CAPITAL if w[0].isupper() else LOWER)
     return tokens, kinds, " ".join(tokens)
@@ -76,7 +84,7 @@ def split_query(text: str | None) -> tuple[list[str], list[int], str]:
     text = "".join(c for c in text if unicodedata.category(c) != "Cf")
     text = regex.sub(r"/\*.*?\*/", " ", regex.sub(r"--[^\n]*", " ", text), flags=regex.S)
     marks = [m.casefold() if m[0] == "'" else m.strip('"`').casefold() for m in _SQL.findall(text)]
-    marks = [" ".join(m.split()) if m[0:1] == "'" else m for m in marks if m]
+    marks = [" ".join(m.split()) for m in marks if m.strip()]
     while marks and marks[-1] == ";":
         marks.pop()
     marks = _ordered_conditions(_without_aliases(_without_copy(marks)))
@@ -193,6 +201,11 @@ def alike(a: list[str], a_names: list[bool], b: list[str], b_names: list[bool])
     return _common([swap.get(w, w) for w in x], y) / min(len(x), len(y))
 
 
+def is_name(capital, lower, starts):
+    """From how often a word has a capital inside a sentence, none, or begins one."""
+    return (capital > 0) & (capital >= starts) & (capital >= NAME_SHARE * (capital + lower))
+
+
 def passages(tokens: list[str], names: list[bool]) -> list[tuple[str, int, int]]:
     """Texts to look for, each with the tokens (first, one past the last) it stands for."""
     n, some = len(tokens), any(names)
@@ -317,8 +330,9 @@ def overlapping_classes(rows: DataFrame, *, exact_fields: tuple[str, ...] = (),
         F.count("*").alias("n"),
         F.count_if(F.col("kinds") == CAPITAL).alias("capital"),
         F.count_if(F.col("kinds") == LOWER).alias("lower"),
+        F.count_if(F.col("kinds") == START).alias("starts"),
     )
-    told = told.withColumn("named", (F.col("capital") > 0) & (F.col("capital") >= NAME_SHARE * (F.col("capital") + F.col("lower"))))
+    told = told.withColumn("named", is_name(F.col("capital"), F.col("lower"), F.col("starts")))
     told = told.select("token", "n", "named").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
     other = classes.filter("not exact")

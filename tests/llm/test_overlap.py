@@ -21,7 +21,7 @@ def _pairs(spark, records, **options):
 
 
 BASE = "What is the average freight among orders that Silsnor Traders delivers between 2018-04-09 and 2018-11-28 for each shipper?"
-BACKGROUND = [(f"bg{i}", "train", "s", f"Show the total for shipments that Name{chr(97 + i)}x Traders carries from {i + 10} to {i + 40}, with freight and orders for each shipper?", None) for i in range(12)]
+BACKGROUND = [("thx", "train", "s", "Show the list of all shipments that Mordosk Traders delivers for each carrier? Thank you.", None), ("thy", "train", "s", "Show the list of all orders that Velfen Traders delivers for each carrier? Thanks!", None)] + [(f"bg{i}", "train", "s", f"Show the total for shipments that Name{chr(97 + i)}x Traders carries from {i + 10} to {i + 40}, with freight and orders for each shipper?", None) for i in range(12)]
 
 
 @pytest.mark.parametrize(
@@ -34,7 +34,9 @@ BACKGROUND = [(f"bg{i}", "train", "s", f"Show the total for shipments that Name{
         BASE.replace("average", "mean").replace("What", "Which"),
         BASE.replace("freight", "frieght").replace("delivers", "delvers"),
         "  " + BASE.replace("the ", "").replace("?", "") + " please (same as last week)",
-        "“" + BASE.replace("a", "a") + "”",
+        "“" + BASE + "”",
+        BASE + " Thank you.",
+        "Hello team - " + BASE + " Thanks!",
     ],
 )
 def test_small_edits_form_a_pair(spark, other):
@@ -66,7 +68,7 @@ def _brute(records):
     """Every train record against every other, by the exact check alone."""
     from collections import Counter
 
-    capital, lower = Counter(), Counter()
+    capital, lower, starts = Counter(), Counter(), Counter()
     parsed = {}
     for r in records:
         t, k, _ = O.split_question(r[3])
@@ -74,7 +76,8 @@ def _brute(records):
         for w, kind in zip(t, k, strict=True):
             capital[w] += kind == O.CAPITAL
             lower[w] += kind == O.LOWER
-    named = lambda w, k: k == O.SURE or (capital[w] > 0 and capital[w] >= O.NAME_SHARE * (capital[w] + lower[w]))
+            starts[w] += kind == O.START
+    named = lambda w, k: k == O.SURE or bool(O.is_name(capital[w], lower[w], starts[w]))
     out = set()
     for a in records:
         for b in records:
