@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgate.functions.moments import epoch_micros
 from quillgate.workspace import materialize
 
 _DAY_US = 86_400_000_000
@@ -128,10 +129,9 @@ def sessionize(
     """
     if slice_us <= gap_us:
         raise ValueError("a slice must be longer than the gap")
-    time_type = events.select(at.alias("at")).schema["at"].dataType.typeName()
-    micros = at if time_type in ("long", "integer") else F.unix_micros(at.cast("timestamp"))
+    micros = epoch_micros(events.sparkSession, at, events.select(at.alias("at")).schema["at"].dataType)
     kind = F.lit(None).cast("string") if kind is None else kind
-    single = events.select(actor.cast("string").alias("actor"), micros.cast("bigint").alias("start_us"), kind.cast("string").alias("kind"))
+    single = events.select(actor.cast("string").alias("actor"), micros.alias("start_us"), kind.cast("string").alias("kind"))
     single = single.filter(F.col("start_us").isNotNull() & F.col("actor").rlike(r"\S"))
     pieces = single.select(
         "actor",

@@ -66,6 +66,10 @@ def test_timestamps_without_kind_and_empty_input(spark):
     df = spark.sql("select 'a' as who, timestamp_ntz'2024-01-01 00:00:00' as at union all select 'a', timestamp_ntz'2024-01-01 00:10:00'")
     [row] = sessionize(df, actor=F.col("who"), at=F.col("at")).collect()
     assert (row.start_us, row.end_us, row.n_events, row.by_kind) == (1704067200000000, 1704067800000000, 2, {})
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kathmandu")
+    [same] = sessionize(df, actor=F.col("who"), at=F.col("at")).collect()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert same == row
     assert sessionize(df.limit(0), actor=F.col("who"), at=F.col("at")).count() == 0
     with pytest.raises(ValueError):
         sessionize(df, actor=F.col("who"), at=F.col("at"), slice_us=GAP)
