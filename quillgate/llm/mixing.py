@@ -83,14 +83,15 @@ def _with_breaks(sized: DataFrame, repeats: dict[str, int], seed: int) -> DataFr
 
 
 def _plan(broken: DataFrame, targets: dict[str, tuple[float, int]]) -> list[SourcePlan]:
-    """Reads at most ``GRID`` sums a source to the driver; sources are those of the target list."""
-    slot = F.least(F.lit(GRID - 1), F.floor(F.log1p("_rate") * (GRID / SPAN))).cast("int")
+    """Reads at most ``GRID`` sums a source, and two million in all, to the driver."""
+    grid = max(64, min(GRID, (1 << 21) // max(len(targets), 1)))
+    slot = F.least(F.lit(grid - 1), F.floor(F.log1p("_rate") * (grid / SPAN))).cast("int")
     spread = broken.select("source", "n_tokens", F.posexplode_outer("breaks").alias("_copy", "_rate"))
     size_if_drawn = F.when(F.col("_rate").isNotNull(), F.col("n_tokens")).otherwise(0)
     size_once = F.when(F.coalesce("_copy", F.lit(0)) == 0, F.col("n_tokens")).otherwise(0)
     slot = F.coalesce(slot, F.lit(0))
     sums = spread.groupBy("source", slot.alias("slot")).agg(F.sum(size_if_drawn).alias("size"), F.sum(size_once).alias("once")).collect()
-    size = {s: np.zeros(GRID) for s in targets}
+    size = {s: np.zeros(grid) for s in targets}
     available = dict.fromkeys(targets, 0)
     for r in sums:
         size[r["source"]][r["slot"]] = r["size"]
@@ -109,7 +110,7 @@ def _plan(broken: DataFrame, targets: dict[str, tuple[float, int]]) -> list[Sour
             j = int(np.searchsorted(reach, wanted))
             before = reach[j - 1] if j else 0.0
             inner = j + (wanted - before) / max(reach[j] - before, 1.0)
-            rate = math.expm1(inner * SPAN / GRID)
+            rate = math.expm1(inner * SPAN / grid)
         out.append(SourcePlan(s, weight, most, int(available[s]), wanted, rate, short))
     return out
 

@@ -123,7 +123,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     targets = read_table(spark, sf_dir, "mix_target").filter("source is not null").limit(10_000).collect()
-    sized = _sized(spark, sf_dir, "source").withColumn("source", F.lower(F.trim("source")))
+    sized = _sized(spark, sf_dir, "source").withColumn("source", folded(F.col("source")))
     return mixing.mix_sources(
         sized,
         doc_id=F.col("doc_id"),
