@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 18
 BANDS = 4
+RIDGE = 0.3
 #: Judgements the model is fitted to at most; which ones is decided by a hash of document and reader.
 FIT_MOST = 20_000
 
@@ -52,7 +53,7 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
 FEATURES = (
     "word_length", "long7", "long10", "long13", "syllables", "upper_quarter_length", "log_sentence", "log_sentence_weighted", "short_sentences",
     "repeat_rate", "window_diversity", "rarity", "rarity_upper", "connectives", "clauses", "commas", "function_share", "log_words", "is_de", "is_fr", "is_es",
-    "de_length", "fr_length", "es_length", "hard_sentences",
+    "de_length", "fr_length", "es_length", "hard_sentences", "length_clauses", "length_sentence", "hard_clauses", "hard_sentence",
 )
 
 
@@ -121,6 +122,9 @@ def features(text: str | None, rarity: np.ndarray) -> list[float] | None:
     rare = rarity[facts[:, 2].astype(int)]
     length = float(lengths.mean())
     commas = (text or "").count(",")
+    deep = float(np.log1p((weights * np.add.reduceat(linked, starts)).sum()))
+    long = float(np.log((weights * sizes).sum()))
+    hard = float((weights * (means >= 8)).sum())
     return [
         length,
         float((lengths >= 7).mean()),
@@ -129,14 +133,14 @@ def features(text: str | None, rarity: np.ndarray) -> list[float] | None:
         float(facts[:, 1].mean()),
         float(np.quantile(lengths, 0.75)),
         float(np.log(n / len(parts))),
-        float(np.log((weights * sizes).sum())),
+        long,
         float((weights * (sizes <= 9)).sum()),
         float(np.log(simpson + 1e-3)),
         float(np.mean(windows)),
         float(rare.mean()),
         float(np.quantile(rare, 0.8)),
         float(linked.mean()),
-        float(np.log1p((weights * np.add.reduceat(linked, starts)).sum())),
+        deep,
         commas / n,
         float(in_lang.max()),
         float(np.log(n)),
@@ -146,7 +150,13 @@ def features(text: str | None, rarity: np.ndarray) -> list[float] | None:
         (lang == "de") * length,
         (lang == "fr") * length,
         (lang == "es") * length,
-        float((weights * (means >= 8)).sum()),
+        hard,
+        # long words count for more where there are no clauses, and the reverse: lists of nouns and endless
+        # sentences are hard in different ways
+        length * deep,
+        length * long,
+        hard * deep,
+        hard * long,
     ]
 
 
@@ -194,7 +204,7 @@ class OrdinalModel:
         self.mean, self.scale, self.weights, self.thresholds = mean, scale, weights, thresholds
 
     @classmethod
-    def fit(cls, x: np.ndarray, bands: np.ndarray, *, ridge: float = 2.0, rounds: int = 40) -> OrdinalModel:
+    def fit(cls, x: np.ndarray, bands: np.ndarray, *, ridge: float = RIDGE, rounds: int = 40) -> OrdinalModel:
         """Penalised maximum likelihood by damped Newton steps."""
         mean, scale = x.mean(0), x.std(0) + 1e-9
         z = (x - mean) / scale
@@ -238,7 +248,7 @@ class OrdinalModel:
         return 1 + (self.score(x)[:, None] > self.thresholds[None, :]).sum(1)
 
 
-def fit_readers(featured: DataFrame, judgements: DataFrame, *, most: int = FIT_MOST, ridge: float = 2.0) -> OrdinalModel:
+def fit_readers(featured: DataFrame, judgements: DataFrame, *, most: int = FIT_MOST, ridge: float = RIDGE) -> OrdinalModel:
     """Fits to at most ``most`` judgements (``doc_id, reader, band``); null bands and unknown documents don't count."""
     usable = judgements.filter(F.col("band").between(1, BANDS)).select("doc_id", "reader", "band")
     chosen = usable.orderBy(F.xxhash64("doc_id", "reader"), "doc_id", "reader", "band").limit(most)
