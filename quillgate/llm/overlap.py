@@ -1,12 +1,15 @@
 """Evaluation records that also stand, exactly or almost, in the training split.
 
-Texts are normalised and equal ones become one class. Of each evaluation class, passages (every name,
-code, number or date by itself and the windows of three tokens around them; windows of two where there
-are none) go into Aho-Corasick automata, sharded so that no automaton holds more than a bounded block of
-classes. Every training class is scanned by the automata of its shard and the matched intervals are
-merged into the coverage of each evaluation text. One whose names are all covered, or of which enough is
-where it has none, is a candidate. An exact check follows: names, codes, numbers and dates must be the
-same ones, and the other words the same up to small edits. No step before the check loses what passes it.
+Texts are normalised and equal ones become one class. The passages of each evaluation class (every
+window of two tokens, and every name, code, number or date by itself) go into Aho-Corasick automata, one
+a shard. Every training class is scanned by the automaton of its shard. A hit leads to the evaluation
+classes that hold the passage; of each the matched intervals are merged, and one of whose tokens at least
+``LEAST_COVERED`` are covered, its names all among them, is a candidate. An exact check of the candidates
+follows: names, codes, numbers and dates must be the same ones, and the other words the same up to small
+edits. So a pair needs both: coverage by passages found in the training text, and the check.
+
+In the fields named as strict (query text) the check is narrower: all tokens must stand in the same
+order, and only where there are names may words of letters differ, by one slip of the hand each.
 
 Shards follow from the check and lose nothing: two texts with the same names share the rarest of them,
 so that token is the shard key. Texts without any use the prefix principle: if at least four fifths of
@@ -14,12 +17,17 @@ their tokens agree, the rarest fifth and one more of either share a token. A tok
 very many texts is split into blocks of both sides. What is a name is told from the whole corpus: a
 token with a digit, or a word that nearly always has a capital where sentence and layout don't ask for one
 and doesn't mostly begin sentences.
+
+Within a shard, a class is looked up through its rare passages only: its commonest ones, as many as
+cover less than ``LEAST_COVERED`` of it, can't make it a candidate by themselves. Nothing is lost by that
+either, and passages that stand in every text of a hot shard don't bring up all of its classes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -29,11 +37,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, WINDOW_PLAIN, LEAST_COVERED, LEAST_ALIKE, LEAST_ALIKE_PLAIN, NAME_SHARE = 3, 2, 0.3, 0.6, 0.8, 0.9
+from quillgate.workspace import materialize, shuffle_width
+
+WINDOW, LEAST_COVERED, LEAST_ALIKE, LEAST_ALIKE_PLAIN, NAME_SHARE = 2, 0.3, 0.6, 0.8, 0.9
 #: Evaluation and training classes that one automaton meets at most.
 BLOCK = 20_000
-_SALTS = 8
+#: Tokens that are a larger share of all than one in so many; no more than that number can be.
+COMMON = 50_000
 
+_INVISIBLE = regex.compile(r"\p{Cf}+")
 _THOUSANDS = regex.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[-./:_][\p{L}\p{M}]*\p{N}+)*")
 _SEPARATOR = regex.compile(r"[-./:_]")
@@ -43,13 +55,14 @@ _SQL = regex.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\p{N}+(?:\.\p{N}+)?|[\p
 # capital says nothing, a token that is surely a name or number, one that surely isn't, a word that begins
 # a sentence or follows a quote, bracket or dash
 LOWER, CAPITAL, UNTOLD, SURE, PLAIN, START = 0, 1, 2, 3, 4, 5
+_SURE, _PLAIN = str(SURE), str(PLAIN)
 _OPENS = frozenset(".?!:;…\"'“”‘’«»()[]-–—")
 
 
 def clean(text: str) -> str:
     """One Unicode form, without invisible characters and thousands separators."""
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     return _THOUSANDS.sub("", text)
 
 
@@ -80,8 +93,8 @@ def split_query(text: str | None) -> tuple[list[str], list[int], str]:
     conditions or in selecting from a named copy of the table share one text."""
     if not text:
         return [], [], ""
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     text = regex.sub(r"/\*.*?\*/", " ", regex.sub(r"--[^\n]*", " ", text), flags=regex.S)
     marks = [m.casefold() if m[0] == "'" else m.strip('"`').casefold() for m in _SQL.findall(text)]
     marks = [" ".join(m.split()) for m in marks if m.strip()]
@@ -91,11 +104,11 @@ def split_query(text: str | None) -> tuple[list[str], list[int], str]:
     tokens, kinds = [], []
     for m in marks:
         if m[:1] == "'":
-            inner = [_SEPARATOR.sub("", w) for w in _TOKEN.findall(m)]
+            inner = [_SEPARATOR.sub("", w) for w in _TOKEN.findall(m)] or [m.replace(" ", "_")]
             tokens += inner
             kinds += [SURE] * len(inner)
-        elif m[0].isalnum() or m[0] == "_":
-            tokens.append(m)
+        else:
+            tokens.append(m.replace(" ", "_"))
             kinds.append(SURE if m[0].isnumeric() else PLAIN)
     return tokens, kinds, " ".join(marks)
 
@@ -189,18 +202,59 @@ def alike(a: list[str], a_names: list[bool], b: list[str], b_names: list[bool])
         return _common(x, y) / max(len(x), len(y), 1)
     if not x or not y:
         return float(len(x) == len(y)) if min(len(a), len(b)) < 3 else 1.0
-    known = set(y)
-    lost, spare = [w for w in dict.fromkeys(x) if w not in known], [w for w in dict.fromkeys(y) if w not in set(x)]
-    swap = {}
-    if len(lost) * len(spare) <= 10_000:
-        for w in lost:
-            for v in spare:
-                if _slip(w, v):
-                    swap[w] = v
-                    break
+    swap = _slips(dict.fromkeys(x), dict.fromkeys(y))
     return _common([swap.get(w, w) for w in x], y) / min(len(x), len(y))
 
 
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
+def _variants(word: str) -> set[int]:
+    """Hashes of the word and of all that are left when one letter is taken out; linear in its length."""
+    codes = [ord(c) + 1 for c in word]
+    after, power = [0] * (len(codes) + 1), [1] * (len(codes) + 1)
+    for i in range(len(codes) - 1, -1, -1):
+        power[len(codes) - i] = power[len(codes) - i - 1] * _BASE % _PRIME
+        after[i] = (codes[i] * power[len(codes) - i - 1] + after[i + 1]) % _PRIME
+    out, before = {after[0]}, 0
+    for i, c in enumerate(codes):
+        out.add((before * power[len(codes) - i - 1] + after[i + 1]) % _PRIME)
+        before = (before * _BASE + c) % _PRIME
+    return out
+
+
+def _slips(x: dict[str, None], y: dict[str, None]) -> dict[str, str]:
+    """For words of ``x`` that ``y`` lacks, the first word of ``y`` (not in ``x``) that is one slip away.
+
+    Two words one slip apart have a variant in common, so each word meets only those; however many words
+    there are.
+    """
+    lost, spare = [w for w in x if w not in y], [w for w in y if w not in x]
+    if not lost or not spare:
+        return {}
+    where: dict[int, list[int]] = {}
+    for i, v in enumerate(spare):
+        for h in _variants(v):
+            where.setdefault(h, []).append(i)
+    out = {}
+    for w in lost:
+        near = sorted({i for h in _variants(w) for i in where.get(h, ())})
+        if (at := next((i for i in near if _slip(w, spare[i])), None)) is not None:
+            out[w] = spare[at]
+    return out
+
+
+def same_query(a: list[str], a_names: list[bool], b: list[str], b_names: list[bool]) -> float:
+    """1 if the tokens are the same in the same order, but for one slip in words of letters if there are names; else 0."""
+    if len(a) != len(b) or a_names != b_names:
+        return 0.0
+    some = any(a_names)
+    for w, v, name in zip(a, b, a_names, strict=True):
+        if w != v and not (some and not name and min(len(w), len(v)) > 3 and w.isalpha() and v.isalpha() and _slip(w, v)):
+            return 0.0
+    return 1.0
+
+
 def is_name(capital, lower, starts):
     """From how often a word has a capital inside a sentence, none, or begins one."""
     return (capital > 0) & (capital >= starts) & (capital >= NAME_SHARE * (capital + lower))
@@ -208,10 +262,10 @@ def is_name(capital, lower, starts):
 
 def passages(tokens: list[str], names: list[bool]) -> list[tuple[str, int, int]]:
     """Texts to look for, each with the tokens (first, one past the last) it stands for."""
-    n, some = len(tokens), any(names)
-    size = min(n, WINDOW if some else WINDOW_PLAIN)
-    spans = [(i, i + size) for i in range(n - size + 1) if size and (not some or any(names[i : i + size]))]
-    spans += [(i, i + 1) for i in range(n) if names[i]]
+    n = len(tokens)
+    size = min(n, WINDOW)
+    spans = [(i, i + size) for i in range(n - size + 1) if size]
+    spans += [(i, i + 1) for i in range(n) if names[i] and size > 1]
     return [(f" {' '.join(tokens[i:j])} ", i, j) for i, j in spans]
 
 
@@ -224,7 +278,7 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-_SPLIT = "id string, train boolean, split string, source string, field string, class binary, tokens array<string>, kinds array<tinyint>"
+_SPLIT = "id string, train boolean, split string, source string, field string, class binary, text string, kinds string"
 
 
 def _split_all(fields: dict[str, Callable]):
@@ -239,69 +293,140 @@ def _split_all(fields: dict[str, Callable]):
                         *head.columns,
                         pa.array([name] * len(parts)),
                         pa.array([hashlib.blake2b(f"{name}\0{p[2]}".encode("utf-8", "replace"), digest_size=16).digest() for p in parts], pa.binary()),
-                        pa.array([p[0] for p in parts], pa.list_(pa.string())),
-                        pa.array([p[1] for p in parts], pa.list_(pa.int8())),
+                        pa.array([" ".join(p[0]) for p in parts], pa.string()),
+                        pa.array(["".join(map(str, p[1])) for p in parts], pa.string()),
                     ],
-                    names=["id", "train", "split", "source", "field", "class", "tokens", "kinds"],
+                    names=["id", "train", "split", "source", "field", "class", "text", "kinds"],
                 )
                 yield out.filter(keep)
 
     return run
 
 
+_PLACED = pa.schema([("field", pa.string()), ("class", pa.binary()), ("in_train", pa.bool_()), ("in_eval", pa.bool_()), ("text", pa.string()), ("names", pa.string()), ("anchor", pa.string())])
+
+
+def _place(common, strict: frozenset[str]):
+    """Marks the names of each class and gives it its shard keys; one row a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often: dict[str, tuple[int, bool]] = common.value
+
+        def rarity(token: str) -> tuple[int, int, str]:
+            return often[token][0] if token in often else 0, zlib.crc32(token.encode("utf-8", "replace")), token
+
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in _PLACED.names}
+            for row in batch.to_pylist():
+                tokens, rare = row["text"].split(" "), set(row["rare_names"] or ())
+                names = [k == _SURE or (k != _PLAIN and (often[w][1] if w in often else w in rare)) for w, k in zip(tokens, row["kinds"], strict=True)]
+                if any(names):
+                    anchors = [min({w for w, n in zip(tokens, names, strict=True) if n}, key=rarity)]
+                elif row["field"] in strict:
+                    anchors = [min(set(tokens), key=rarity)]
+                else:
+                    anchors = dict.fromkeys(sorted(tokens, key=rarity)[: int(len(tokens) * (1 - LEAST_ALIKE_PLAIN) + 1e-9) + 1])
+                marks = "".join("1" if n else "0" for n in names)
+                for a in anchors:
+                    for k, v in zip(_PLACED.names, (row["field"], row["class"], row["in_train"], row["in_eval"], row["text"], marks, a), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, _PLACED)
+
+    return run
+
+
 _FOUND = pa.schema([("field", pa.string()), ("train_class", pa.binary()), ("eval_class", pa.binary()), ("coverage", pa.float64()), ("alike", pa.float64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's evaluation classes, then its training classes: automaton, scan, merge, check."""
-    found: dict[str, list] = {"field": [], "train_class": [], "eval_class": [], "coverage": [], "alike": []}
-    machine, patterns = ahocorasick.Automaton(), 0
-    by_key: dict[tuple, dict] = {}
-    ready = False
-    for batch in batches:
-        for row in batch.to_pylist():
-            tokens, names = row["tokens"], row["names"]
-            key = (row["field"], row["anchor"], row["cell"])
-            sign = hash(tuple(sorted(w for w, n in zip(tokens, names, strict=True) if n)))
-            if not row["scanned"]:
-                wanted = []
-                for text, i, j in passages(tokens, names):
-                    number = machine.get(text, None)
-                    if number is None:
-                        number, patterns = patterns, patterns + 1
-                        machine.add_word(text, number)
-                    wanted.append((number, i, j))
-                by_key.setdefault(key, {}).setdefault(sign, []).append((row["class"], tokens, names, wanted))
-                continue
-            if not patterns:
-                continue
-            if not ready:
-                machine.make_automaton()
-                ready = True
-            near = by_key.get(key, {}).get(sign)
-            if not near:
-                continue
-            hits = {number for _, number in machine.iter(f" {' '.join(tokens)} ")}
-            for name, e_tokens, e_names, wanted in near:
-                spans = [(i, j) for number, i, j in wanted if number in hits]
-                share = covered(spans) / len(e_tokens)
+class Shard:
+    """The evaluation classes of one shard and the automaton of their passages."""
+
+    def __init__(self) -> None:
+        self.classes: list[tuple[bytes, list[str], list[bool], list[tuple[int, int, int]]]] = []
+        self.numbers: dict[str, int] = {}
+        self.machine: ahocorasick.Automaton | None = None
+        self.opens: list[list[int]] = []
+
+    def add(self, name: bytes, tokens: list[str], names: list[bool]) -> None:
+        self.classes.append((name, tokens, names, [(self.numbers.setdefault(text, len(self.numbers)), i, j) for text, i, j in passages(tokens, names)]))
+
+    def close(self) -> None:
+        """Builds the automaton, and for each passage the classes that a hit of it leads to."""
+        self.machine = ahocorasick.Automaton()
+        for text, number in self.numbers.items():
+            self.machine.add_word(text, number)
+        self.machine.make_automaton()
+        often = [0] * len(self.numbers)
+        for _, _, _, wanted in self.classes:
+            for number in {w[0] for w in wanted}:
+                often[number] += 1
+        self.opens = [[] for _ in often]
+        for at, (_, tokens, names, wanted) in enumerate(self.classes):
+            few: set[int] = set()
+            covers = 0
+            for number, i, j in sorted(wanted, key=lambda w: -often[w[0]]):
+                more = covers | ((1 << j) - (1 << i))
+                if number not in few and more.bit_count() < LEAST_COVERED * len(tokens):
+                    covers = more
+                else:
+                    few.add(number)
+            # every name must be met, so the rarest alone will do where it is rarer than those
+            own = [number for number, i, j in wanted if j - i == 1 and names[i]]
+            best = min(own, key=lambda k: often[k], default=None)
+            if best is not None and often[best] <= sum(often[k] for k in few):
+                few = {best}
+            for number in few:
+                self.opens[number].append(at)
+
+    def candidates(self, tokens: list[str]) -> Iterator[tuple[bytes, list[str], list[bool], float]]:
+        """Evaluation classes whose passages, where they stand in the text, cover enough of them."""
+        hits = {number for _, number in self.machine.iter(f" {' '.join(tokens)} ")}
+        for at in {c for number in hits for c in self.opens[number]}:
+            name, e_tokens, e_names, wanted = self.classes[at]
+            spans = [(i, j) for number, i, j in wanted if number in hits]
+            share = covered(spans) / len(e_tokens)
+            if share >= LEAST_COVERED:
                 inside = {i for i, j in spans for i in range(i, j)}
-                if not (all(i in inside for i, named in enumerate(e_names) if named) if any(e_names) else share >= LEAST_COVERED):
+                if all(i in inside for i, named in enumerate(e_names) if named):
+                    yield name, e_tokens, e_names, share
+
+
+def _scan(strict: frozenset[str]):
+    """Rows sorted by shard, evaluation classes first: automaton, scan, merge, check, shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {n: [] for n in _FOUND.names}
+        here, shard = None, Shard()
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["field"], row["anchor"], row["cell"])
+                if key != here:
+                    here, shard = key, Shard()
+                tokens, names = row["text"].split(" "), [m == "1" for m in row["names"]]
+                if not row["scanned"]:
+                    shard.add(row["class"], tokens, names)
+                    continue
+                if not shard.classes:
                     continue
-                # queries are in one form by now: only the same query is the same
-                same = name == row["class"]
-                score = 1.0 if same else 0.0 if row["exact"] else alike(e_tokens, e_names, tokens, names)
-                if score >= (LEAST_ALIKE if any(names) else LEAST_ALIKE_PLAIN):
-                    for k, v in zip(found, (row["field"], row["class"], name, share, score), strict=True):
-                        found[k].append(v)
-        if len(found["field"]) > 10_000:
-            yield pa.RecordBatch.from_pydict(found, _FOUND)
-            found = {k: [] for k in found}
-    yield pa.RecordBatch.from_pydict(found, _FOUND)
+                if shard.machine is None:
+                    shard.close()
+                check, least = (same_query, 1.0) if row["field"] in strict else (alike, LEAST_ALIKE if any(names) else LEAST_ALIKE_PLAIN)
+                for name, e_tokens, e_names, share in shard.candidates(tokens):
+                    # the same class is the same text, whatever the check makes of its order
+                    score = 1.0 if name == row["class"] else check(e_tokens, e_names, tokens, names)
+                    if score >= least:
+                        for k, v in zip(_FOUND.names, (row["field"], row["class"], name, share, score), strict=True):
+                            found[k].append(v)
+                if len(found["field"]) > 10_000:
+                    yield pa.RecordBatch.from_pydict(found, _FOUND)
+                    found = {n: [] for n in _FOUND.names}
+        yield pa.RecordBatch.from_pydict(found, _FOUND)
+
+    return run
 
 
 def split_records(records: DataFrame, *, id: Column, split: Column, source: Column, fields: dict[str, tuple[Column, Callable]], train: str = "train") -> DataFrame:
-    """One row for each record and field with text: normalised class, tokens and their kinds.
+    """One row for each record and field with text: normalised class, tokens and their kinds, one digit each.
 
     A null split is no split and its records are left out; null, empty and unreadable texts (no letter
     or digit) have no row. Other columns are not read, whatever their names.
@@ -311,58 +436,56 @@ def split_records(records: DataFrame, *, id: Column, split: Column, source: Colu
     return base.filter("split is not null").mapInArrow(_split_all({n: f for n, (_, f) in fields.items()}), _SPLIT)
 
 
-def overlapping_classes(rows: DataFrame, *, exact_fields: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def words_of(rows: DataFrame) -> DataFrame:
+    """``token, n, named``: how often each token stands in the corpus and whether it is a name."""
+    each = rows.select(F.posexplode(F.split("text", " ")).alias("pos", "token"), "kinds").select("token", F.expr("substring(kinds, pos + 1, 1)").alias("kind"))
+    counted = each.groupBy("token").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("kind") == str(CAPITAL)).alias("capital"),
+        F.count_if(F.col("kind") == str(LOWER)).alias("lower"),
+        F.count_if(F.col("kind") == str(START)).alias("starts"),
+    )
+    return counted.select("token", "n", is_name(F.col("capital"), F.col("lower"), F.col("starts")).alias("named"))
+
+
+def overlapping_classes(rows: DataFrame, *, strict_fields: tuple[str, ...] = (), block: int = BLOCK, common: int = COMMON) -> DataFrame:
     """``field, train_class, eval_class, coverage, alike`` for the classes that overlap, over ``split_records``.
 
-    A class is named by 16 bytes that tell its field too.
+    A class is named by 16 bytes that tell its field too. ``rows`` are read several times: write them first.
+    Tokens of which there are more than one in ``common`` of all (so at most ``common`` tokens, whatever the
+    corpus) are known to every task; of the others, none has more occurrences than that, and they are joined.
     """
     spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exact = F.col("field").isin(list(exact_fields)) if exact_fields else F.lit(False)
-    flags = [F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.min(F.struct("tokens", "kinds")).alias("t")]
-    classes = rows.groupBy("field", "class").agg(*flags).withColumn("exact", exact)
-    kept = ["field", "class", "in_train", "in_eval", "exact", "tokens", "names", "anchor"]
-    # of these a text overlaps with itself only, so it is its own shard
-    same = classes.filter("exact").select("*", "t.tokens", F.transform("t.kinds", lambda k: k == SURE).alias("names"), F.hex("class").alias("anchor")).select(kept)
-
-    flat = rows.filter(~exact).select(F.explode(F.arrays_zip("tokens", "kinds")).alias("t")).select("t.tokens", "t.kinds")
-    told = flat.groupBy(F.col("tokens").alias("token")).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("kinds") == CAPITAL).alias("capital"),
-        F.count_if(F.col("kinds") == LOWER).alias("lower"),
-        F.count_if(F.col("kinds") == START).alias("starts"),
-    )
-    told = told.withColumn("named", is_name(F.col("capital"), F.col("lower"), F.col("starts")))
-    told = told.select("token", "n", "named").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-
-    other = classes.filter("not exact")
-    each = other.select("class", F.posexplode(F.arrays_zip("t.tokens", "t.kinds")).alias("pos", "t"))
-    each = each.select("class", "pos", F.col("t.tokens").alias("token"), F.col("t.kinds").alias("kind"), F.pmod(F.hash("class"), F.lit(_SALTS)).alias("salt"))
-    each = each.join(told, ["token", "salt"])
-    name = (F.col("kind") == SURE) | ((F.col("kind") != PLAIN) & F.col("named"))
-    marked = each.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("pos", "token", name.alias("name"), "n"))).alias("m"))
-    by_rarity = F.array_sort(F.transform("m", lambda t: F.struct(t["n"].alias("n"), t["token"].alias("token"), t["name"].alias("name"))))
-    marked = marked.select("class", F.col("m.token").alias("tokens"), F.col("m.name").alias("names"), by_rarity.alias("r"))
-    named = F.filter("r", lambda t: t["name"])
-    prefix = F.slice("r", 1, F.floor(F.size("r") * (1 - LEAST_ALIKE_PLAIN) + 1e-9).cast("int") + 1)
-    anchors = F.array_distinct(F.when(F.size(named) > 0, F.transform(F.slice(named, 1, 1), lambda t: t["token"])).otherwise(F.transform(prefix, lambda t: t["token"])))
-    marked = marked.withColumn("anchor", F.explode(anchors)).drop("r")
-    anchored = same.unionByName(other.drop("t").join(marked, "class").select(kept))
+    strict = frozenset(strict_fields)
+    words = materialize(words_of(rows), "overlap-words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    often = words.filter(F.col("n") > total / common)
+    known = spark.sparkContext.broadcast({r.token: (r.n, r.named) for r in often.toLocalIterator()})
+    rare_names = words.filter((F.col("n") <= total / common) & F.col("named")).select("token")
+
+    flags = [F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.min(F.struct("text", "kinds")).alias("t")]
+    classes = materialize(rows.groupBy("field", "class").agg(*flags).select("field", "class", "in_train", "in_eval", "t.text", "t.kinds"), "overlap-texts")
+    each = classes.filter(F.col("kinds").rlike(f"[^{SURE}{PLAIN}]")).select("class", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    each = each.join(F.broadcast(often.select("token")), "token", "left_anti").join(rare_names, "token")
+    named = each.groupBy("class").agg(F.collect_list("token").alias("rare_names"))
+    placed = classes.join(named, "class", "left").mapInArrow(_place(known, strict), "field string, class binary, in_train boolean, in_eval boolean, text string, names string, anchor string")
+    placed = materialize(placed, "overlap-placed")
 
     # a token that is the anchor of very many classes: blocks of evaluation by blocks of training classes
-    size = anchored.groupBy("field", "anchor").agg(F.count_if("in_eval").alias("n_eval"), F.count_if("in_train").alias("n_train"))
+    size = placed.groupBy("field", "anchor").agg(F.count_if("in_eval").alias("n_eval"), F.count_if("in_train").alias("n_train"))
     size = size.filter("n_eval > 0 and n_train > 0").select(
         "field", "anchor", F.ceil(F.col("n_eval") / block).cast("int").alias("e_blocks"), F.ceil(F.col("n_train") / block).cast("int").alias("t_blocks")
     )
-    placed = anchored.join(size, ["field", "anchor"])
-    keep = ["field", "anchor", "class", "tokens", "names", "exact"]
     mine = F.xxhash64("class")
-    e = placed.filter("in_eval").withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)))
-    e = e.select(*keep, (F.pmod(mine, F.col("e_blocks")) * F.col("t_blocks") + F.col("tb")).alias("cell"), F.lit(False).alias("scanned"))
-    t = placed.filter("in_train").withColumn("eb", F.explode(F.sequence(F.lit(0), F.col("e_blocks") - 1)))
-    t = t.select(*keep, (F.col("eb") * F.col("t_blocks") + F.pmod(mine, F.col("t_blocks"))).alias("cell"), F.lit(True).alias("scanned"))
-    sharded = e.unionByName(t).repartition(width, "field", "anchor", "cell").sortWithinPartitions("scanned")
-    return sharded.mapInArrow(_scan, "field string, train_class binary, eval_class binary, coverage double, alike double").distinct()
+    eb, tb = F.pmod(mine, F.col("e_blocks")), F.pmod(mine, F.col("t_blocks"))
+    as_eval = F.when(F.col("in_eval"), F.transform(F.sequence(F.lit(0), F.col("t_blocks") - 1), lambda b: F.struct(F.lit(False).alias("scanned"), (eb * F.col("t_blocks") + b).alias("cell"))))
+    as_train = F.when(F.col("in_train"), F.transform(F.sequence(F.lit(0), F.col("e_blocks") - 1), lambda b: F.struct(F.lit(True).alias("scanned"), (b * F.col("t_blocks") + tb).alias("cell"))))
+    spots = F.concat(F.coalesce(as_eval, F.array()), F.coalesce(as_train, F.array()))
+    sharded = placed.join(size, ["field", "anchor"]).select("field", "anchor", "class", "text", "names", F.explode(spots).alias("s")).select("field", "anchor", "class", "text", "names", "s.scanned", "s.cell")
+    sharded = sharded.repartition(shuffle_width(spark), "field", "anchor", "cell").sortWithinPartitions("field", "anchor", "cell", "scanned")
+    found = sharded.mapInArrow(_scan(strict), "field string, train_class binary, eval_class binary, coverage double, alike double")
+    # texts without names meet once for each token of theirs that opens a shard
+    return materialize(found.distinct(), "overlap-classes")
 
 
 def overlapping_pairs(rows: DataFrame, classes: DataFrame, *, block: int = BLOCK) -> DataFrame:

@@ -68,7 +68,7 @@ def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fields = {"question": (F.col("question"), overlap.split_question), "reference_sql": (F.col("reference_sql"), overlap.split_query)}
     rows = overlap.split_records(cases, id=F.col("id"), split=F.col("split"), source=F.col("source"), fields=fields)
     rows = materialize(rows, "overlap-rows")
-    return rows, overlap.overlapping_classes(rows, exact_fields=("reference_sql",))
+    return rows, overlap.overlapping_classes(rows, strict_fields=("reference_sql",))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, classes = _overlaps(spark, sf_dir)
-    return overlap.overlap_report(rows, materialize(classes, "overlap-classes"))
+    return overlap.overlap_report(rows, classes)
 
 
 # --- 7: packing ------------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ def _rows(spark, records):
 
 def _pairs(spark, records, **options):
     rows = _rows(spark, records)
-    classes = O.overlapping_classes(rows, exact_fields=("reference_sql",), **options)
+    classes = O.overlapping_classes(rows, strict_fields=("reference_sql",), **options)
     return {(r.train_id, r.eval_id) for r in O.overlapping_pairs(rows, classes, **options).collect()}
 
 
@@ -65,7 +65,7 @@ def test_queries_match_up_to_writing(spark):
 
 
 def _brute(records):
-    """Every train record against every other, by the exact check alone."""
+    """Every train record against every other, by coverage (texts searched one by one) and the exact check alone."""
     from collections import Counter
 
     capital, lower, starts = Counter(), Counter(), Counter()
@@ -86,6 +86,10 @@ def _brute(records):
                 if not t or not e:
                     continue
                 tn, en = [named(w, k) for w, k in zip(t, tk, strict=True)], [named(w, k) for w, k in zip(e, ek, strict=True)]
+                text = f" {' '.join(t)} "
+                spans = [(i, j) for x, i, j in O.passages(e, en) if x in text]
+                if O.covered(spans) < O.LEAST_COVERED * len(e):
+                    continue
                 if O.alike(e, en, t, tn) >= (O.LEAST_ALIKE if any(en) else O.LEAST_ALIKE_PLAIN) or t == e:
                     out.add((a[0], b[0]))
     return out
@@ -108,6 +112,66 @@ def test_against_brute_force(spark, block):
     assert _pairs(spark, records, block=block) == _brute(records)
 
 
+def test_queries_match_up_to_slips(spark):
+    q = "SELECT carrier, SUM(delay_min) FROM departures WHERE carrier = 'Vash Air' AND locid > 40"
+    near = [q.replace("departures", "depatures"), q.replace("SELECT", "SELCT")]
+    far = [q.replace(">", "<"), q.replace("carrier,", "delay_min,"), q.replace("SUM", "MIN"), q.replace("40", "41"), "SELECT carrier FROM depatures"]
+    records = [("t", "train", "s", None, q), ("u", "train", "s", None, "SELECT carrier FROM departures")]
+    records += [(f"near{i}", "dev", "s", None, x) for i, x in enumerate(near)] + [(f"far{i}", "dev", "s", None, x) for i, x in enumerate(far)]
+    assert _pairs(spark, records) == {("t", "near0"), ("t", "near1")}
+
+
+def test_pairs_come_from_the_hits(spark, monkeypatch):
+    shard = O.Shard()
+    tokens = "total freight of silsnor since 2018".split()
+    names = [False, False, False, True, False, True]
+    shard.add(b"e", tokens, names)
+    shard.close()
+    assert [(n, share) for n, _, _, share in shard.candidates(tokens)] == [(b"e", 1.0)]
+    assert list(shard.candidates("total freight of silsnor".split())) == []  # 2018 isn't met
+    shard.machine.clear()
+    shard.machine.add_word("nothing", 0)
+    shard.machine.make_automaton()
+    assert list(shard.candidates(tokens)) == []
+
+
+def test_lookup_through_rare_passages_loses_nothing():
+    rng = random.Random(3)
+    words = ["show", "the", "total", "of", "x1", "y2", "for", "all", "and", "more"]
+    shard, texts = O.Shard(), []
+    for i in range(300):
+        t = [rng.choice(words) for _ in range(rng.randrange(1, 14))]
+        n = [w in ("x1", "y2") for w in t]
+        texts.append((str(i).encode(), t, n))
+        shard.add(*texts[-1])
+    shard.close()
+    for _ in range(60):
+        scanned = [rng.choice(words) for _ in range(rng.randrange(1, 16))]
+        text, wanted = f" {' '.join(scanned)} ", set()
+        for name, t, n in texts:
+            spans = [(i, j) for x, i, j in O.passages(t, n) if x in text]
+            inside = {i for a, b in spans for i in range(a, b)}
+            if O.covered(spans) >= O.LEAST_COVERED * len(t) and all(i in inside for i in range(len(t)) if n[i]):
+                wanted.add(name)
+        assert {c[0] for c in shard.candidates(scanned)} == wanted
+
+
+@pytest.mark.parametrize("n", [100, 101, 1500])
+def test_slips_in_many_words(n):
+    a = ["zed7"] + [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}tail" for i in range(n)]
+    b = ["zed7"] + [w + "s" for w in a[1:]]
+    names = [True] + [False] * n
+    assert O.alike(a, names, b, names) == 1.0
+
+
+def test_slips_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(200):
+        x, y = ({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))): None for _ in range(8)} for _ in range(2))
+        lost, spare = [w for w in x if w not in y], [w for w in y if w not in x]
+        assert O._slips(x, y) == {w: next(v for v in spare if O._slip(w, v)) for w in lost if any(O._slip(w, v) for v in spare)}
+
+
 def test_one_text_in_very_many_records(spark):
     records = [(f"t{i}", "train", "s", BASE, None) for i in range(40)] + [(f"e{i}", "dev", "s", BASE.lower(), None) for i in range(30)] + BACKGROUND
     assert _pairs(spark, records, block=4) == {(f"t{i}", f"e{j}") for i in range(40) for j in range(30)}
@@ -116,7 +180,7 @@ def test_one_text_in_very_many_records(spark):
 def test_report_nulls_and_empty_table(spark):
     records = [("t", "train", "a", BASE, None), ("t2", "train", "a", None, None), ("e", "test", None, BASE, None), ("n", None, "a", BASE, None), ("w", "dev", "a", "", None), ("x", "dev", "a", "...", " ")]
     rows = _rows(spark, records)
-    classes = O.overlapping_classes(rows, exact_fields=("reference_sql",))
+    classes = O.overlapping_classes(rows, strict_fields=("reference_sql",))
     assert {(r.split, r.source, r.n_records, r.n_overlapping, r.n_by_question, r.n_by_query) for r in O.overlap_report(rows, classes).collect()} == {("train", "a", 1, 1, 1, 0), ("test", None, 1, 1, 1, 0)}
     assert _pairs(spark, [("t", "train", "a", "y " * 30_000 + "Zed7", None), ("e", "dev", "a", "y " * 30_000 + "Zed7", None)]) == {("t", "e")}
     assert _pairs(spark, records[1:2]) == set()
