@@ -48,6 +48,8 @@ COMMON = 50_000
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 _THOUSANDS = regex.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[-./:_][\p{L}\p{M}]*\p{N}+)*")
+_PARTS = regex.compile(r"([^\p{L}\p{M}\p{N}]*+)([\p{L}\p{M}\p{N}]+(?:[-./:_][\p{L}\p{M}]*\p{N}+)*)")
+_COMMENT, _LINE_COMMENT = regex.compile(r"/\*.*?\*/", regex.S), regex.compile(r"--[^\n]*")
 _SEPARATOR = regex.compile(r"[-./:_]")
 _SQL = regex.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\p{N}+(?:\.\p{N}+)?|[\p{L}_][\p{L}\p{M}\p{N}_]*|<>|<=|>=|!=|\|\||\S")
 
@@ -66,28 +68,46 @@ def clean(text: str) -> str:
     return _THOUSANDS.sub("", text)
 
 
+_SEEN: dict[str, tuple[str, bool, bool]] = {}
+
+
+def _word(w: str) -> tuple[str, bool, bool]:
+    """The token of a word, whether it has a digit, whether it begins with a capital; kept for words met before."""
+    found = _SEEN.get(w)
+    if found is None:
+        if len(_SEEN) > 200_000:
+            _SEEN.clear()
+        found = _SEEN[w] = (_SEPARATOR.sub("", w).casefold(), any(c.isnumeric() for c in w), w[0].isupper())
+    return found
+
+
 def split_question(text: str | None) -> tuple[list[str], list[int], str]:
     """Tokens in lower case, their kinds, and the text that equal questions share."""
-    text = clean(text) if text else ""
-    found = list(_TOKEN.finditer(text))
-    raw = [m[0] for m in found]
-    gaps = [text[a.end() : b.start()] for a, b in zip(found, found[1:], strict=False)]
-    lower = sum(w[0].islower() for w in raw)
-    told = lower >= 0.4 * len(raw) and any(w[0].isupper() for w in raw[1:])
+    found = _PARTS.findall(clean(text)) if text else []
+    words = [_word(w) for _, w in found]
+    lower = sum(w[0].islower() for _, w in found)
+    told = lower >= 0.4 * len(words) and any(upper for _, _, upper in words[1:])
     tokens, kinds = [], []
-    for i, w in enumerate(raw):
-        tokens.append(_SEPARATOR.sub("", w).casefold())
-        if any(c.isnumeric() for c in w):
+    for i, (gap, _) in enumerate(found):
+        token, digit, upper = words[i]
+        tokens.append(token)
+        if digit:
             kinds.append(SURE)
         elif not told:
             kinds.append(UNTOLD)
-        elif i == 0 or not _OPENS.isdisjoint(gaps[i - 1]):
+        elif i == 0 or (gap != " " and not _OPENS.isdisjoint(gap)):
             kinds.append(START)
         else:
-            kinds.append(CAPITAL if w[0].isupper() else LOWER)
+            kinds.append(CAPITAL if upper else LOWER)
     return tokens, kinds, " ".join(tokens)
 
 
+def _mark(m: str) -> str:
+    """A mark of a query as equal queries share it."""
+    m = m.casefold() if m[0] == "'" else m.strip('"`').casefold()
+    return m if m.isalnum() else " ".join(m.split())
+
+
 def split_query(text: str | None) -> tuple[list[str], list[int], str]:
     """The same of a SQL text; queries that differ in layout, case, comments, aliases, the order of
     conditions or in selecting from a named copy of the table share one text."""
@@ -95,15 +115,14 @@ def split_query(text: str | None) -> tuple[list[str], list[int], str]:
         return [], [], ""
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = regex.sub(r"/\*.*?\*/", " ", regex.sub(r"--[^\n]*", " ", text), flags=regex.S)
-    marks = [m.casefold() if m[0] == "'" else m.strip('"`').casefold() for m in _SQL.findall(text)]
-    marks = [" ".join(m.split()) for m in marks if m.strip()]
+    text = _COMMENT.sub(" ", _LINE_COMMENT.sub(" ", text))
+    marks = [n for m in _SQL.findall(text) if (n := _mark(m))]
     while marks and marks[-1] == ";":
         marks.pop()
     marks = _ordered_conditions(_without_aliases(_without_copy(marks)))
     tokens, kinds = [], []
     for m in marks:
-        if m[:1] == "'":
+        if m[0] == "'":
             inner = [_SEPARATOR.sub("", w) for w in _TOKEN.findall(m)] or [m.replace(" ", "_")]
             tokens += inner
             kinds += [SURE] * len(inner)
@@ -134,9 +153,9 @@ def _without_aliases(m: list[str]) -> list[str]:
     out: list[str] = []
     i = 0
     while i < len(m):
-        if m[i] == "as" and i + 1 < len(m) and regex.match(r"[\p{L}_]", m[i + 1]):
+        if m[i] == "as" and i + 1 < len(m) and (m[i + 1][0].isalpha() or m[i + 1][0] == "_"):
             i += 2
-        elif i + 2 < len(m) and m[i + 1] == "." and regex.match(r"[\p{L}_]", m[i]):
+        elif i + 2 < len(m) and m[i + 1] == "." and (m[i][0].isalpha() or m[i][0] == "_"):
             i += 2
         else:
             out.append(m[i])
