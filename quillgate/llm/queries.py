@@ -52,14 +52,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DURATION_GROUPINGS = {"backend": ["backend"], "tenant": ["tenant_id"], "backend_tenant": ["backend", "tenant_id"]}
 
 
-def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _duration_sketches(spark: SparkSession, sf_dir: str, *, daily: bool) -> DataFrame:
     rows = read_table(spark, sf_dir, "audit_record").select("timestamp", "backend", "tenant_id", "duration_ms")
-    by = {"day": F.to_date("timestamp"), "backend": folded(F.col("backend")), "tenant_id": F.col("tenant_id")}
-    daily = quantiles.daily_sketches(rows, by, F.col("duration_ms"))
-    merged = quantiles.merge_sketches(daily, _DURATION_GROUPINGS)
+    by = {"day": F.to_date("timestamp")} if daily else {}
+    return quantiles.sketches(rows, by | {"backend": folded(F.col("backend")), "tenant_id": F.col("tenant_id")}, F.col("duration_ms"))
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = quantiles.merge_sketches(_duration_sketches(spark, sf_dir, daily=False), _DURATION_GROUPINGS)
     return quantiles.percentiles(merged, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
+def p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partial result of each day, backend and tenant, as it would be stored to be merged later."""
+    return _duration_sketches(spark, sf_dir, daily=True)
+
+
 # --- 6: overlaps across splits ---------------------------------------------------------------------
 
 
@@ -162,7 +170,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_distinct_ids, p2_registers, p3_found, p3_terms, p4_percentiles, p6_found, p6_report, p7_found, p7_packed, p7_fill,
+        p2_distinct_ids, p2_registers, p3_found, p3_terms, p4_percentiles, p4_sketches, p6_found, p6_report, p7_found, p7_packed, p7_fill,
         p8_found, p8_mix, p8_shares, p9_found, p9_levels,
     )
 }
@@ -208,3 +216,79 @@ found as (
 )"""
 SQL["p3_terms"] = "with" + _TERMS + " select * from marked"
 SQL["p3_found"] = "with" + _TERMS + " select field_name, term, mark from marked where mark is not null"
+
+_HASHED = ", ".join(str(h) for h in quantiles.HASHES)
+_SKETCHES = rf"""
+usable as (
+  select cast("timestamp" as date) as day, nullif(lower(regexp_replace(backend, '^\s+|\s+$', '', 'g')), '') as backend, tenant_id,
+    case when duration_ms >= 4611686018427387904 * 0.001 then 4611686018427387903 else cast(round(duration_ms * 1000.0::double) as bigint) end as steps
+  from audit_record where duration_ms >= 0 and not isnan(duration_ms) and not isinf(duration_ms)
+), shifted as (
+  select *, greatest(0, length(format('{{:b}}', steps)) - 11) as shift from usable
+), counted as (
+  select day, backend, tenant_id, (shift << 10) + (steps >> shift) as code, count(*) as n from shifted group by all
+), hashes(level, row_no, a, b, c, d) as (values {_HASHED}), placed as (
+  select day, backend, tenant_id, code >> {quantiles.EXACT_SHIFT} as cell, n from counted
+  union all
+  select day, backend, tenant_id,
+    (a::bigint * (code >> level) + b) % {quantiles.PRIME} % {quantiles.WIDTH} + {quantiles.EXACT} + (level * {quantiles.DEPTH} + row_no) * {quantiles.WIDTH},
+    case when (c::bigint * (code >> level) + d) % {quantiles.PRIME} % 2 = 1 then -n else n end
+  from counted cross join hashes
+)"""
+SQL["p4_sketches"] = "with" + _SKETCHES + " select day, backend, tenant_id, cast(cell as integer) as cell, cast(sum(n) as bigint) as n from placed group by day, backend, tenant_id, cell having sum(n) <> 0"
+
+
+def _descent() -> str:
+    """The sketch descended in SQL, level by level."""
+    steps = []
+    for level in range(quantiles.EXACT_SHIFT - 1, -1, -1):
+        last = f"d{level + 1}"
+        steps.append(
+            f"""looked{level} as (
+  select s.grp, s.share, s.code * 2 as low, s.rest, s.parent, h.row_no,
+    (a::bigint * (s.code * 2) + b) % {quantiles.PRIME} % {quantiles.WIDTH} + {quantiles.EXACT} + ({level} * {quantiles.DEPTH} + row_no) * {quantiles.WIDTH} as cell,
+    case when (c::bigint * (s.code * 2) + d) % {quantiles.PRIME} % 2 = 1 then -1 else 1 end as sign
+  from {last} s cross join (select * from hashes where level = {level}) h
+), guessed{level} as (
+  select l.grp, l.share, l.low, l.rest, l.parent, greatest(0, least(l.parent, median(coalesce(m.n, 0) * l.sign))) as guess
+  from looked{level} l left join merged m on m.grp = l.grp and m.cell = l.cell group by l.grp, l.share, l.low, l.rest, l.parent
+), d{level} as (
+  select grp, share, case when rest > guess then low + 1 else low end as code, case when rest > guess then rest - guess else rest end as rest,
+    case when rest > guess then parent - guess else guess end as parent from guessed{level}
+)"""
+        )
+    return ", ".join(steps)
+
+
+SQL["p4_percentiles"] = (
+    "with"
+    + _SKETCHES
+    + f""", groups as (
+  select row_number() over () as grp, * from (
+    select 'backend' as grouping, backend, null::varchar as tenant_id from counted union select 'tenant', null, tenant_id from counted union select 'backend_tenant', backend, tenant_id from counted)
+), merged as (
+  select g.grp, p.cell, cast(sum(p.n) as bigint) as n from placed p join groups g
+    on (g.grouping = 'tenant' or g.backend is not distinct from p.backend) and (g.grouping = 'backend' or g.tenant_id is not distinct from p.tenant_id) group by 1, 2
+), summed as (
+  select grp, cell as code, n, sum(n) over (partition by grp order by cell) as upto, sum(n) over (partition by grp) as total from merged where cell < {quantiles.EXACT}
+), wanted as (
+  select grp, share, greatest(ceil(share * any_value(total) - 1e-9), 1) as rank from summed cross join (values (0.5::double), (0.9::double), (0.95::double), (0.99::double)) s(share) group by 1, 2
+), d{quantiles.EXACT_SHIFT} as (
+  select w.grp, w.share, s.code, w.rank - (s.upto - s.n) as rest, s.n as parent from wanted w join summed s on s.grp = w.grp and s.upto >= w.rank and s.upto - s.n < w.rank and s.n > 0
+), {_descent()}, decoded as (
+  select *, greatest(code // 1024 - 1, 0) as shift from d0
+), valued as (
+  select grp, share, (((code - (shift << 10)) << shift) + ((1::bigint << shift) - 1) / 2.0::double) * 0.001::double as value from decoded
+), ranked as (
+  select grp, (cell - {quantiles.EXACT}) // {quantiles.WIDTH} as part, n, row_number() over (partition by grp, (cell - {quantiles.EXACT}) // {quantiles.WIDTH} order by n * n desc) as k from merged where cell >= {quantiles.EXACT}
+), squares as (
+  select g.grp, h.level, h.row_no, coalesce(sum(r.n * r.n), 0) as square from groups g cross join hashes h
+    left join ranked r on r.grp = g.grp and r.part = h.level * {quantiles.DEPTH} + h.row_no and r.k > {quantiles.HEAVY} group by 1, 2, 3
+), errors as (
+  select grp, sum(middle) as squares from (select grp, level, median(square) as middle from squares group by 1, 2) group by 1
+)
+select grouping, backend, tenant_id, cast(max(t.total) as bigint) as n, max(value) filter (share = 0.5::double) as p50, max(value) filter (share = 0.9::double) as p90,
+  max(value) filter (share = 0.95::double) as p95, max(value) filter (share = 0.99::double) as p99,
+  round(3 * sqrt(max(e.squares) / {quantiles.WIDTH}) / max(t.total), 9) as rank_error
+from groups g join valued v using (grp) join (select distinct grp, total from summed) t using (grp) join errors e using (grp) group by g.grp, grouping, backend, tenant_id"""
+)
