@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgate.workspace import materialize
+
 UNITS = 64
-_PLACED = "capacity bigint, bin_id bigint, item bigint, piece bigint, first_token bigint, n_tokens bigint"
 
 
 @functools.lru_cache(1)
@@ -108,7 +109,7 @@ def pack(items: DataFrame, *, item: Column, size: Column, capacities: list[int],
     """Where each piece goes: ``capacity, bin_id, item, piece, first_token, n_tokens``, for every capacity.
 
     Every item of positive size is placed once for each capacity, in as many pieces as it must be cut
-    into (``piece`` counts from 0); ``bin_id`` is unique within a capacity. Items of null or no size
+    into (``piece`` counts from 0); ``bin_id`` is unique within a capacity (by number of shard, and of container in it). Items of null or no size
     take no room and are left out; repeated rows are items of their own; ties are broken by the order
     in a shard; an empty table gives no row. Capacities below 1 are refused. Other columns are not
     read, whatever their names.
@@ -116,36 +117,30 @@ def pack(items: DataFrame, *, item: Column, size: Column, capacities: list[int],
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
     sized = items.select(item.cast("bigint").alias("item"), size.cast("bigint").alias("total")).filter("total > 0")
-    shards = max(1, -(-items.count() // shard_items))
+    # written, so that a row keeps its number when a task runs again; repeats of a row spread over all shards
+    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "packing-rows")
+    shards = max(1, -(-sized.count() // shard_items))
     each = sized.withColumn("capacity", F.explode(F.array(*[F.lit(int(c)).cast("bigint") for c in sorted(set(capacities))])))
-    shard = F.pmod(F.xxhash64("item", "total"), F.lit(shards))
+    each = each.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row")
 
-    full = each.filter("total >= capacity").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("total div capacity - 1"))))
-    # full pieces own their container: numbers below 0, apart from the packed ones
-    rank = F.xxhash64("item", "piece", "_copy")
-    full = full.withColumn("_copy", F.monotonically_increasing_id()).select(
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        capacity, shard_no = int(pdf["capacity"].iloc[0]), int(pdf["shard"].iloc[0])
+        total = pdf["total"].to_numpy(np.int64)
+        cut = total // capacity
+        rest, where = total % capacity, np.full(len(total), -1, np.int64)
+        where[rest > 0] = pack_lengths(rest[rest > 0], capacity)
+        # a full piece owns its container: numbers below 0, counted within the shard
+        return pd.DataFrame({"capacity": capacity, "item": pdf["item"], "total": total, "full_from": -(shard_no << 32) - 1 - (np.cumsum(cut) - cut), "bin": where + (shard_no << 32)})
+
+    placed = each.groupBy("capacity", "shard").applyInPandas(place, "capacity bigint, item bigint, total bigint, full_from bigint, bin bigint")
+    pieces = placed.withColumn("piece", F.explode(F.expr("sequence(0L, (total - 1) div capacity)")))
+    full = F.expr("piece < total div capacity")
+    first = F.col("piece") * F.col("capacity")
+    return pieces.select(
         "capacity",
-        (-F.pmod(rank, F.lit(2**62)) - 1).alias("bin_id"),
+        F.when(full, F.col("full_from") - F.col("piece")).otherwise(F.col("bin")).alias("bin_id"),
         "item",
         "piece",
-        (F.col("piece") * F.col("capacity")).alias("first_token"),
-        F.col("capacity").alias("n_tokens"),
+        first.alias("first_token"),
+        F.least(F.col("capacity"), F.col("total") - first).alias("n_tokens"),
     )
-    rest = each.filter("total % capacity > 0").select("capacity", shard.alias("shard"), "item", "total")
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        capacity, shard_no = int(pdf["capacity"].iloc[0]), int(pdf["shard"].iloc[0])
-        total = pdf["total"].to_numpy(np.int64)
-        lengths = total % capacity
-        return pd.DataFrame(
-            {
-                "capacity": capacity,
-                "bin_id": pack_lengths(lengths, capacity) + (shard_no << 32),
-                "item": pdf["item"],
-                "piece": total // capacity,
-                "first_token": total - lengths,
-                "n_tokens": lengths,
-            }
-        )
-
-    return full.unionByName(rest.groupBy("capacity", "shard").applyInPandas(place, _PLACED))

