@@ -1,11 +1,13 @@
 """Exactly one copy of every message that was delivered at least once.
 
 A keyed state store remembers the identifiers seen lately, with the row kept for each. The
-watermark of event time says when an identifier leaves the store. Identifiers that have left
-it are still known: every kept row is also written to a ledger, and what the store takes for
-new is looked up there before it is believed (the late-arrival lookup). State, offsets and
-output belong to one micro-batch: the output folders are named by batch number and replaced
-when a batch is replayed, so a restart neither loses nor doubles anything.
+watermark of event time says when an identifier leaves the store. What the store takes for new or
+better it claims, and the claims of a run are settled when it has drained its stream: an identifier that
+has left the store and comes again is claimed twice, and one of an earlier run stands in that run's
+ledger (the late-arrival lookup). So every identifier is shuffled once a run for the lookup, however many
+micro-batches there are. State, offsets and verdicts belong to one micro-batch: the folders are named by
+batch number and replaced when a batch is replayed, and a settlement is named by the last batch it
+covers, so a restart neither loses nor doubles anything.
 
 The kept row is the one with the smallest delivery number, whatever order rows arrive in: a
 smaller number arriving later takes over, and the row kept until then is reported instead.
@@ -23,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillgate.workspace import fresh_dir, shuffle_width
+from quillgate.functions.moments import epoch_micros
+from quillgate.workspace import fresh_dir, materialize, shuffle_width
 
 _ENTRY = np.dtype([("key", "S16"), ("kept", "<i8"), ("seen_ms", "<i8")])
 _NO_TIME = 2**62
@@ -97,18 +100,18 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class DedupRun:
-    """Where a finished run left its results; both are folders of one sub-folder a batch."""
+    """Where a run left its results: a folder of verdicts a batch, and of late repeats and the ledger a settlement."""
 
-    repeats_path: str
-    ledger_path: str
-    batches: int
+    root: str
+    settled: int
 
     def repeats(self, spark: SparkSession) -> DataFrame:
         """``delivery bigint``: every row that repeats a message, once."""
-        if not self.batches:
+        if self.settled < 0:
             return spark.createDataFrame([], "delivery bigint")
-        found = spark.read.schema("delivery bigint, batch bigint").parquet(self.repeats_path)
-        return found.select("delivery").distinct()
+        found = spark.read.schema(_VERDICT).parquet(f"{self.root}/verdicts").filter("verdict = 'repeat'").select("delivery")
+        late = spark.read.schema("delivery bigint, upto bigint").parquet(f"{self.root}/late").select("delivery")
+        return found.unionByName(late).distinct()
 
 
 def run_dedup(
@@ -125,18 +128,18 @@ def run_dedup(
 
     ``message`` is 16 bytes or null, ``delivery`` a unique bigint. Rows whose message or delivery
     number is null repeat nothing and are left out; a row without event time is found as any other.
-    An empty stream gives no row.
+    A time without a zone is read as UTC. An empty stream gives no row.
     Other columns, whatever their names, are not touched. The state is held in ``buckets`` (twice the
     shuffle partitions unless given; fixed for a ``root``), 32 bytes a message seen within the watermark:
-    choose as many as keep a bucket at some megabytes. The folder ``root`` holds the
+    choose as many as keep a bucket at some megabytes (``buckets_for``). The folder ``root`` holds the
     checkpoint: starting again with the same ``root`` continues where the last run ended.
     """
     spark = stream.sparkSession
     root = root or fresh_dir(spark, "dedup")
     buckets = buckets or 2 * shuffle_width(spark)
-    repeats_path, ledger_path = f"{root}/repeats", f"{root}/ledger"
     # a null event time is later than any watermark, so such rows never leave the store early
-    event_ms = F.coalesce(F.unix_millis(event_time.cast("timestamp")), F.lit(_NO_TIME))
+    micros = epoch_micros(spark, event_time, stream.select(event_time.alias("at")).schema["at"].dataType)
+    event_ms = F.coalesce(F.floor(micros / 1000), F.lit(_NO_TIME)).cast("bigint")
     bucket = F.when(F.col("again"), F.xxhash64("delivery")).otherwise(F.xxhash64("message"))
     rows = (
         stream.select(message.alias("message"), delivery.cast("bigint").alias("delivery"), event_ms.alias("event_ms"))
@@ -153,39 +156,52 @@ def run_dedup(
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )
-    done: list[int] = []
-
-    def settle(batch: DataFrame, number: int) -> None:
-        here = batch.sparkSession
-        staged_path = f"{root}/staged/batch={number}"
-        batch.write.mode("overwrite").parquet(staged_path)
-        staged = here.read.schema(_VERDICT).parquet(staged_path)
-        kept = staged.filter("verdict = 'kept'").groupBy("message").agg(F.min("delivery").alias("delivery"))
-        seen_before = staged.filter("verdict = 'repeat'").select("delivery")
-        if number and _exists(here, ledger_path):
-            ledger = here.read.schema("message binary, delivery bigint, batch bigint").parquet(ledger_path)
-            # on a replay the batch's own rows may be there already
-            ledger = ledger.filter(F.col("batch") < number)
-            ledger = ledger.groupBy("message").agg(F.min("delivery").alias("earlier"))
-            looked_up = kept.join(ledger, "message", "left")
-            late = looked_up.filter("earlier is not null and earlier <> delivery")
-            seen_before = seen_before.unionByName(late.select(F.greatest("earlier", "delivery").alias("delivery")))
-            kept = looked_up.filter("earlier is null or delivery < earlier").select("message", "delivery")
-        seen_before.write.mode("overwrite").parquet(f"{repeats_path}/batch={number}")
-        kept.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
-        done.append(number)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/verdicts/batch={number}")
 
     query = (
-        verdicts.writeStream.foreachBatch(settle)
+        verdicts.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    count = len(done)
-    if not count:
-        count = int(_exists(spark, repeats_path))
-    return DedupRun(repeats_path, ledger_path, count)
+    return DedupRun(root, _settle(spark, root))
+
+
+def _settle(spark: SparkSession, root: str) -> int:
+    """Looks the claims since the last settlement up among each other and in the ledger; the last batch covered, -1 if none."""
+    batches, before = _numbers(spark, f"{root}/verdicts", "batch"), _numbers(spark, f"{root}/ledger", "upto")
+    settled = max(before, default=-1)
+    new = [b for b in batches if b > settled]
+    if not new:
+        return settled
+    last = max(new)
+    claims = spark.read.schema(_VERDICT).parquet(*[f"{root}/verdicts/batch={b}" for b in new]).filter("verdict = 'kept'")
+    claims = claims.select("message", "delivery", F.lit(True).alias("new"))
+    if before:
+        known = spark.read.schema("message binary, delivery bigint").parquet(*[f"{root}/ledger/upto={b}" for b in before])
+        claims = claims.unionByName(known.select("message", "delivery", F.lit(False).alias("new")))
+    told = claims.groupBy("message").agg(F.min("delivery").alias("first"), F.max("delivery").alias("last"), F.count("*").alias("n"), F.max("new").alias("new"), F.min(F.when(~F.col("new"), F.col("delivery"))).alias("known"))
+    told = materialize(told.filter("new"), "dedup-claims")
+    # nearly every message is claimed once; of those claimed more often, all claims but the first repeat it
+    more = told.filter("n > 1")
+    late = claims.join(more.select("message", "first"), "message").filter("delivery > first").select("delivery")
+    late.write.mode("overwrite").parquet(f"{root}/late/upto={last}")
+    better = told.filter("known is null or first < known")
+    better.select("message", F.col("first").alias("delivery")).write.mode("overwrite").parquet(f"{root}/ledger/upto={last}")
+    return last
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers in the names of finished sub-folders such as ``batch=3``."""
+    if not _exists(spark, folder):
+        return []
+    files, target = _file_system(spark, folder)
+    found = [s.getPath() for s in files.listStatus(target)]
+    done = [p for p in found if p.getName().startswith(f"{name}=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple:
@@ -198,15 +214,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def stream_table(spark: SparkSession, path: str, *, batches: int = 16, least_bytes: int = 128 << 20) -> DataFrame:
-    """A Parquet table as a stream of at most about ``batches`` micro-batches.
+#: Bytes of Parquet for which one bucket of state is made, and that a core gets in one micro-batch.
+BUCKET_BYTES, CORE_BYTES = 64 << 20, 32 << 20
 
-    Every batch looks up what it takes for new in the ledger of those before, so their number is bounded
-    whatever the size of the table; a small table isn't cut below ``least_bytes``.
-    """
+
+def _length(spark: SparkSession, path: str) -> int:
+    files, target = _file_system(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
+def buckets_for(spark: SparkSession, path: str) -> int:
+    """Buckets of state for a replay of a table: in proportion to its size, twice the shuffle partitions at least."""
+    return max(2 * shuffle_width(spark), -(-_length(spark, path) // BUCKET_BYTES))
+
+
+def stream_table(spark: SparkSession, path: str, *, batch_bytes: int | None = None) -> DataFrame:
+    """A Parquet table as a stream of micro-batches of about ``batch_bytes`` (unless given, what keeps all cores busy)."""
     schema = spark.read.parquet(path).schema
     files, target = _file_system(spark, path)
-    size = files.getContentSummary(target).getLength()
     if files.getFileStatus(target).isFile():
         path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a pattern
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max(least_bytes, -(-size // batches))).parquet(path)
+    batch_bytes = batch_bytes or CORE_BYTES * spark.sparkContext.defaultParallelism
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)

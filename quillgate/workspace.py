@@ -15,10 +15,14 @@ SETTING = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests, a laptop) one is made and set for the session.
+    Where the setting is missing, one is made and set for the session if the driver is the only machine
+    (a local master: tests, a laptop); on a cluster that is an error.
     """
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgate-")
         spark.conf.set(SETTING, root)
         spark.sparkContext.setCheckpointDir(root)
