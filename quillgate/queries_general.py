@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from quillgate.functions.identity import folded, uuid_value
 from quillgate.operators.sessions import sessionize
-from quillgate.streaming.dedup import run_dedup, stream_table
-from quillgate.workspace import read_table
+from quillgate.streaming.dedup import buckets_for, run_dedup, stream_table
+from quillgate.workspace import fresh_dir, read_table
 
 
 def repeated_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = run_dedup(
-        stream_table(spark, f"{sf_dir}/audit_record.parquet"),
-        message=uuid_value(F.col("audit_id")),
-        delivery=F.col("delivery_id"),
-        event_time=F.coalesce("timestamp", "received_at"),
-    )
+    path = f"{sf_dir}/audit_record.parquet"
+    return _repeats(spark, stream_table(spark, path), buckets=buckets_for(spark, path))
+
+
+def _repeats(spark: SparkSession, stream: DataFrame, **options) -> DataFrame:
+    run = run_dedup(stream, message=uuid_value(F.col("audit_id")), delivery=F.col("delivery_id"), event_time=F.coalesce("timestamp", "received_at"), **options)
     return run.repeats(spark)
 
 
+def p5_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over ten micro-batches in the order of delivery, with a state of two days: later copies are looked up."""
+    path = fresh_dir(spark, "deliveries")
+    rows = read_table(spark, sf_dir, "audit_record").select("delivery_id", "audit_id", "timestamp", "received_at")
+    rows.repartitionByRange(10, "delivery_id").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _repeats(spark, stream, watermark="2 days").select(F.col("delivery").alias("delivery_id"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_deliveries(spark, sf_dir).select(F.col("delivery").alias("delivery_id"))
 
@@ -50,13 +59,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.coalesce(F.element_at("by_kind", s), F.lit(0)).cast("bigint").alias(f"n_{s}") for s in ("ok", "error", "timeout")]
+    """A row for each session and status in it; a session whose records have none has one row without."""
     return _sessions(spark, sf_dir).select(
-        F.col("actor").alias("principal_id"), "start_us", "end_us", "duration_us", "n_events", *counts
+        F.col("actor").alias("principal_id"), "start_us", "end_us", "duration_us", "n_events", F.explode_outer("by_kind").alias("status", "n_status")
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_sessions": p1_sessions, "p5_found": p5_found, "p5_per_day": p5_per_day}
+QUERIES = {"p1_found": p1_found, "p1_sessions": p1_sessions, "p5_found": p5_found, "p5_in_batches": p5_in_batches, "p5_per_day": p5_per_day}
 
 _AGAIN = r"""
 parsed as (
@@ -78,18 +87,19 @@ _SESSIONS = (
 ), numbered as (
   select *, sum(first) over (partition by principal_id order by t rows unbounded preceding) as k from marked
 ), sessions as (
-  select principal_id, min(t) as start_us, max(t) as end_us, max(t) - min(t) as duration_us, count(*) as n_events,
-    count(*) filter (status = 'ok') as n_ok, count(*) filter (status = 'error') as n_error, count(*) filter (status = 'timeout') as n_timeout
-  from numbered group by principal_id, k
+  select principal_id, k, min(t) as start_us, max(t) as end_us, max(t) - min(t) as duration_us, count(*) as n_events from numbered group by principal_id, k
+), statuses as (
+  select principal_id, k, status, count(*) as n_status from numbered where status is not null group by all
 )"""
 )
 
 SQL = {
     "p5_found": "with" + _AGAIN + " select delivery_id from again",
+    "p5_in_batches": "with" + _AGAIN + " select delivery_id from again",
     "p5_per_day": "with"
     + _AGAIN
     + """ select cast(received_at as date) as day, count(*) as n_received, count(a.delivery_id) as n_repeats, count(*) - count(a.delivery_id) as n_kept
   from audit_record r left join again a on a.delivery_id = r.delivery_id group by 1""",
     "p1_found": _SESSIONS + " select principal_id, start_us, end_us from sessions",
-    "p1_sessions": _SESSIONS + " select * from sessions",
+    "p1_sessions": _SESSIONS + " select principal_id, start_us, end_us, duration_us, n_events, status, n_status from sessions left join statuses using (principal_id, k)",
 }
