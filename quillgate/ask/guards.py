@@ -1,10 +1,16 @@
-"""What is asked back, or refused, before and after planning; none of it depends on a model."""
+"""What is asked back, or refused, before and after planning; none of it depends on a model.
+
+A question is read once into what it asks for (``Asked``): kinds of computation, constants and the
+things of the catalog it names. A plan or query is read into what it does (``Done``). The rules compare the
+two; each has a code and yields a message or nothing.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from quillgate.plans.catalog import Catalog, Ref
 from quillgate.plans.ir import Between, Compare, Like, Literal, Member, Plan
@@ -18,32 +24,152 @@ class Clarify:
     message: str
 
 
-_SQL_TEXT = re.compile(r"^\s*(select|with|insert|update|delete|drop|alter|truncate|merge|create)\b|\bselect\s+.+\s+from\b|\bunion\s+(all\s+)?select\b", re.I | re.S)
-_AVERAGE = re.compile(r"\b(average|averages|mean|avg)\b", re.I)
-_COUNT = re.compile(r"\b(how many|number of|count)\b", re.I)
-_SINGLE = re.compile(r"\bwhich\s+(\w+)\s+(has|have|had|is|was|made|sold|bought|spent)\b.*\b(most|fewest|highest|lowest|largest|smallest|biggest|least|best|worst)\b", re.I)
-_ARITHMETIC = re.compile(r"\b(ratio|percent(age)?|share of|growth|proportion|per cent|divided by|difference between|correlation|median)\b|%", re.I)
-_PER = re.compile(r"\b(?:average|mean|avg)\b.*?\bper\s+(\w+)", re.I)
-
-# fixed values: words of a question that speak of no thing in the data
-COMMON_WORDS = frozenset(
-    "a about above across after all also amount an and any are as at average be been before below between but by can code compute could count data date did different "
-    "do does each every fewest find first for from give group had has have highest how i in into is it its largest last least less list lowest made many me mean "
-    "month more most much name names no not number of on one only or order our out over per please quarter rank rows same second show since smallest some sort than that the "
-    "their them then there these they third this those time to top total totals type under up us value was we week were what when where which who whose why will with within year you".split()
-)
+# English words that name nothing in a table, by their kind
+_GRAMMAR = {
+    "articles and pronouns": "a an the i me my we us our you your he she it its they them their this that these those there one",
+    "prepositions": "about above across after against among around as at before below between by during for from in into of off on onto over per since through to toward under until up upon with within without",
+    "joining words": "and but if nor not no or so than then while whether also",
+    "verbs that help": "am are be been being can could did do does had has have is may might must shall should was were will would",
+    "question words": "how what when where which who whom whose why",
+    "amounts and order": "all any both each every few fewer fewest first last least less many more most much none only other own same second several some such top different total totals number amount",
+    "requests": "compare compute count display find get give list name order please rank return show sort tell",
+    "measures": "average mean maximum minimum sum highest lowest largest smallest best worst biggest",
+    "time": "date day month quarter week year time",
+    "talk of tables": "code data row rows value values type type name names",
+}
+FUNCTION_WORDS = frozenset(w for words in _GRAMMAR.values() for w in words.split())
+
+# cues: what a computation is called in a question, as runs of words
+_CUES = {
+    "mean": ("average", "averages", "avg", "mean"),
+    "count": ("how many", "number of", "count", "count of"),
+    "between aggregates": ("ratio", "percent", "percentage", "per cent", "proportion", "share of", "growth", "divided by", "difference between", "correlation", "median"),
+    "extreme": ("most", "fewest", "least", "best", "worst", "highest", "lowest", "largest", "smallest", "biggest"),
+}
 
 
 def words(text: str) -> set[str]:
     """Words of a text and their singulars."""
-    found = set(re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text).lower().replace("_", " ")))
-    return found | {w.removesuffix("s") for w in found} | {w[:-3] + "y" for w in found if w.endswith("ies")}
+    found = set(_word_list(text))
+    return found | {_singular(w) for w in found}
+
+
+def _word_list(text: str) -> list[str]:
+    spaced = "".join(f" {c}" if c.isupper() and i and text[i - 1].islower() else c for i, c in enumerate(text))
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in spaced.lower()).split()
+
+
+def _singular(word: str) -> str:
+    if word.endswith("ies") and len(word) > 4:
+        return word[:-3] + "y"
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+
+
+def _bare(text: object) -> str:
+    return "".join(c for c in str(text).lower() if c.isascii() and c.isalnum())
+
+
+def _called(name: str) -> set[str]:
+    """How a table or column may be called: its words of three letters and more."""
+    return {w for w in words(name) if len(w) > 2}
+
+
+@dataclass(frozen=True)
+class Asked:
+    question: str
+    catalog: Catalog
+
+    @cached_property
+    def said(self) -> list[str]:
+        return _word_list(self.question)
+
+    @cached_property
+    def words(self) -> set[str]:
+        return words(self.question)
+
+    def after(self, kind: str) -> list[str] | None:
+        """The words after the first cue of a kind; none if there is no such cue."""
+        for i in range(len(self.said)):
+            for cue in sorted(_CUES[kind], key=len, reverse=True):
+                run = cue.split()
+                if self.said[i : i + len(run)] == run:
+                    return self.said[i + len(run) :]
+        if kind == "between aggregates" and "%" in self.question:
+            return []
+        return None
+
+    def wants(self, kind: str) -> bool:
+        return self.after(kind) is not None
+
+    @cached_property
+    def quoted(self) -> list[str]:
+        parts = re.split(r"(['\"])(.+?)\1", self.question)
+        return parts[2::3]
+
+    @cached_property
+    def numbers(self) -> list[str]:
+        return [w.strip(".,;:?!()") for w in self.question.split() if (n := w.strip(".,;:?!()")).isdigit() and len(n) > 1]
+
+    def tables_called(self, word: str) -> set[str]:
+        """Tables that a word of the question names, by their own name or a synonym."""
+        forms = {word, _singular(word)}
+        named = {t.name for t in self.catalog.tables if forms & words(t.name)}
+        return named | {s.target.split(".")[0] for s in self.catalog.synonyms if forms & words(s.term)}
+
+    def first_table(self, said: Iterable[str], most: int) -> tuple[str, set[str]] | None:
+        """The first of so many words that names a table."""
+        for w in list(said)[:most]:
+            if named := self.tables_called(w):
+                return w, named
+        return None
+
+
+@dataclass(frozen=True)
+class Done:
+    """What a plan does."""
+
+    plan: Plan
+    catalog: Catalog
+    functions: set[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "functions", {a.fn for a in self.plan.aggregations})
+
+    def tables_of(self, *fns: str) -> set[str]:
+        return {a.column.table if a.column else self.plan.source for a in self.plan.aggregations if a.fn in fns}
 
+    @cached_property
+    def constants(self) -> list[Literal]:
+        out: list[Literal] = []
+        for f in self.plan.filters:
+            match f:
+                case Compare(value=Literal() as v):
+                    out.append(v)
+                case Member():
+                    out.extend(f.values)
+                case Between():
+                    out.extend((f.low, f.high))
+                case Like():
+                    out.append(Literal("string", f.pattern.strip("%")))
+        return out
 
-def _named(name: str) -> set[str]:
-    """How a table or column may be called: its words, and without a one-letter prefix."""
-    bare = re.sub(r"^[a-z]{1,2}_", "", name)
-    return {w for w in words(name) | words(bare) if len(w) > 2}
+    def one_for(self, tables: set[str]) -> set[str]:
+        """Tables whose key column stands for one of ``tables`` where different values are counted."""
+        counted = {a.column for a in self.plan.aggregations if a.fn == "count_distinct"}
+        return {k.many_ref.table for k in self.catalog.join_keys if k.many_ref in counted and k.one_ref.table in tables}
+
+
+# --- before planning ---------------------------------------------------------------------------------
+
+
+def _is_query(text: str) -> bool:
+    """Whether a text is written as a statement: a verb of SQL first, or a SELECT with its FROM anywhere."""
+    said = _word_list(text)
+    if not said:
+        return False
+    if {"select", "from"} <= set(said) and said.index("select") + 1 < len(said) - said[::-1].index("from") - 1:
+        return True
+    return said[0] in ("alter", "create", "delete", "drop", "insert", "merge", "truncate", "update") and bool({"table", "from", "into", "set", "view", "index", "database"} & set(said[1:])) or said[:2] == ["union", "all"]
 
 
 def before_planning(question: str, catalog: Catalog) -> Clarify | None:
@@ -51,190 +177,175 @@ def before_planning(question: str, catalog: Catalog) -> Clarify | None:
         return Clarify("empty_question", "nothing was asked")
     if len(question) > MOST_CHARACTERS:
         return Clarify("question_too_long", f"a question has at most {MOST_CHARACTERS} characters")
-    if _SQL_TEXT.search(question):
+    if _is_query(question):
         return Clarify("sql_in_question", "ask in words; query text isn't read")
     if not catalog.tables:
         return Clarify("no_access", "no table may be read")
     asked = words(question)
-    if hit := sorted(n for n in catalog.high_pii_names if words(n.replace("_", " ")) <= asked):
+    if hit := sorted(n for n in catalog.high_pii_names if words(n) <= asked):
         return Clarify("restricted_request", f"{hit[0]} can't be shown")
-    named = [m.id for m in catalog.metrics if words(m.id.replace("_", " ")) <= asked]
-    if len(named) > 1:
-        longest = max(named, key=len)
-        if any(not set(n.split("_")) <= set(longest.split("_")) for n in named):
-            return Clarify("ambiguous_metric", f"this could mean {' or '.join(sorted(named))}")
+    named = {m.id: set(_word_list(m.id)) for m in catalog.metrics if words(m.id) <= asked}
+    # a metric whose words are all in another's is the less exact name of the same
+    exact = [m for m, w in named.items() if not any(w < other for other in named.values())]
+    if len(exact) > 1:
+        return Clarify("ambiguous_metric", f"this could mean {' or '.join(sorted(exact))}")
     return None
 
 
 def unknown_terms(question: str, catalog: Catalog) -> list[str]:
     """Words of the question that match nothing in the catalog; constants (numbers, quoted, capitalised) don't count."""
-    known = set(COMMON_WORDS)
+    texts = [t for s in catalog.synonyms for t in (s.term,)] + [t for m in catalog.metrics for t in (m.id, m.description)]
     for t in catalog.tables:
-        known |= _named(t.name) | words(t.description)
+        texts += [t.name, t.description]
         for c in t.columns:
-            known |= _named(c.name) | words(c.description) | {w for v in c.values for w in words(v)}
-    for s in catalog.synonyms:
-        known |= words(s.term)
-    for m in catalog.metrics:
-        known |= words(m.id) | words(m.description)
-    plain = re.sub(r"'[^']*'|\"[^\"]*\"", " ", question)
-    rest = re.findall(r"(?<![\w])[a-z][a-z]{2,}", re.sub(r"(?<!^)\b[A-Z]\w*", " ", plain[:1].lower() + plain[1:]))
-    return [w for w in dict.fromkeys(rest) if not ({w, w.removesuffix("s"), w.removesuffix("ed"), w.removesuffix("ing")} & known)]
+            texts += [c.name, c.description, *c.values]
+    known = FUNCTION_WORDS.union(*map(words, texts)) if texts else FUNCTION_WORDS
+    out = []
+    for i, piece in enumerate(re.sub(r"(['\"]).*?\1", " ", question).split()):
+        w = piece.strip(".,;:?!()")
+        if len(w) < 3 or not w.isalpha() or (i and w[0].isupper()):
+            continue
+        w = w.lower()
+        if not {w, _singular(w), w.removesuffix("ed"), w.removesuffix("ing")} & known and w not in out:
+            out.append(w)
+    return out
 
 
 def out_of_scope(question: str, catalog: Catalog) -> Clarify | None:
     """Most of what the question speaks of is nothing the catalog knows."""
     lost = unknown_terms(question, catalog)
-    known = [w for w in words(question) if w not in COMMON_WORDS and w not in lost and len(w) > 2]
-    return Clarify("out_of_scope", f"nothing here is called {', '.join(lost)}") if lost and len(lost) > len(known) else None
+    met = {w for w in _word_list(question) if len(w) > 2} - FUNCTION_WORDS - set(lost)
+    return Clarify("out_of_scope", f"nothing here is called {', '.join(lost)}") if len(lost) > len(met) else None
+
+
+# --- queries -----------------------------------------------------------------------------------------
 
 
 def dropped_constants(question: str, sql: str) -> list[str]:
     """Quoted texts and numbers of the question that the query leaves out."""
-    wanted = re.findall(r"'([^']+)'|\"([^\"]+)\"|(?<![\w.-])(\d{2,})(?![\w.-])", question)
-    flat = re.sub(r"[^0-9a-z]", "", sql.lower())
-    return [v for group in wanted for v in group if v and re.sub(r"[^0-9a-z]", "", v.lower()) not in flat]
+    asked, flat = Asked(question, Catalog("none", ())), _bare(sql)
+    return [v for v in (*asked.numbers, *asked.quoted) if _bare(v) not in flat]
 
 
 def dropped_measures(question: str, sql: str) -> list[str]:
     """Averages and counts that were asked for but aren't computed."""
-    out = []
-    if _AVERAGE.search(question) and not re.search(r"\b(avg|mean|median)\s*\(|/", sql, re.I):
-        out.append("dropped_average")
-    if _COUNT.search(question) and not re.search(r"\bcount\s*\(|\bsum\s*\(", sql, re.I):
-        out.append("dropped_count")
-    return out
+    asked = Asked(question, Catalog("none", ()))
+    calls = {c.lower() for c in re.findall(r"(\w+)\s*\(", sql)}
+    enough = {"mean": ("dropped_average", {"avg", "mean", "median"}, "/" in sql), "count": ("dropped_count", {"count", "sum"}, False)}
+    return [code for kind, (code, fns, other) in enough.items() if asked.wants(kind) and not fns & calls and not other]
 
 
 # --- plans -------------------------------------------------------------------------------------------
 
 
-def _dropped_average(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    if _AVERAGE.search(question) and not any(a.fn == "avg" for a in plan.aggregations):
-        return Clarify("dropped_average", "an average was asked for and none is computed")
-    return None
+def _between_aggregates(a: Asked, d: Done) -> str | None:
+    return "it asks for arithmetic between aggregates; only a metric can do that" if a.wants("between aggregates") else None
 
 
-def _dropped_count(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    if _COUNT.search(question) and not plan.aggregations:
-        return Clarify("dropped_count", "a number was asked for and rows are listed")
-    return None
+def _count_missing(a: Asked, d: Done) -> str | None:
+    return "a number was asked for and rows are listed" if a.wants("count") and not d.functions else None
 
 
-def _inexpressible(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    if hit := _ARITHMETIC.search(question):
-        return Clarify("inexpressible_request", f"{hit[0]!r} asks for arithmetic between aggregates; only a metric can do that")
-    return None
+def _mean_missing(a: Asked, d: Done) -> str | None:
+    return "an average was asked for and none is computed" if a.wants("mean") and "avg" not in d.functions else None
 
 
-def _list_for_one(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    asked = _SINGLE.search(question)
-    if asked and plan.limit != 1 and not asked[1].endswith("s"):
-        return Clarify("ranked_list_for_singular_question", f"one {asked[1]} was asked for")
-    return None
+def _mean_of_other(a: Asked, d: Done) -> str | None:
+    """An average per thing is an average over rows of that thing."""
+    rest, averaged = a.after("mean"), d.tables_of("avg")
+    if not rest or "per" not in rest or not averaged:
+        return None
+    met = a.first_table(rest[rest.index("per") + 1 :], 1)
+    return f"an average per {met[0]} is a ratio; rows of {', '.join(sorted(averaged))} are averaged" if met and not averaged <= met[1] else None
 
 
-def _other_entity(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    """\"how many X\" must count rows of X or different X."""
-    asked = re.search(r"\b(?:how many|number of|count of)\s+(?:distinct\s+|different\s+|unique\s+)?(\w+)", question, re.I)
-    if not asked:
+def _count_of_other(a: Asked, d: Done) -> str | None:
+    """What is asked the number of is what is counted: its rows, or its key in another table."""
+    rest, counted = a.after("count"), d.tables_of("count", "count_distinct")
+    if not rest or not counted:
         return None
-    meant = {t.name for t in catalog.tables if words(asked[1]) & words(t.name)}
-    meant |= {s.target.split(".")[0] for s in catalog.synonyms if words(s.term) & words(asked[1])}
-    counted = {a.column.table if a.column else plan.source for a in plan.aggregations if a.fn in ("count", "count_distinct")}
-    linked = {k.many_ref.table for k in catalog.join_keys for a in plan.aggregations if a.fn == "count_distinct" and a.column == k.many_ref and k.one_ref.table in meant}
-    if meant and counted and not (counted & (meant | linked)):
-        return Clarify("counted_other_entity", f"{asked[1]} were asked for, rows of {', '.join(sorted(counted))} are counted")
+    met = a.first_table([w for w in rest if w not in ("distinct", "different", "unique")], 1)
+    if met and not counted & (met[1] | d.one_for(met[1])):
+        return f"{met[0]} were asked for, rows of {', '.join(sorted(counted))} are counted"
     return None
 
 
-def _averaged_other(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    """\"average x per Y\" is an average over rows of Y."""
-    asked = _PER.search(question)
-    averaged = {a.column.table for a in plan.aggregations if a.fn == "avg" and a.column}
-    if not asked or not averaged:
+def _many_for_one(a: Asked, d: Done) -> str | None:
+    """"which x ... most" in the singular has one answer."""
+    if "which" not in a.said or not a.wants("extreme") or d.plan.limit == 1:
         return None
-    meant = {t.name for t in catalog.tables if words(asked[1]) & words(t.name)}
-    if meant and not averaged <= meant:
-        return Clarify("averaged_per_other_entity", f"an average per {asked[1]} is a ratio; rows of {', '.join(sorted(averaged))} are averaged")
-    return None
+    thing = a.said[a.said.index("which") + 1 : a.said.index("which") + 2]
+    return f"one {thing[0]} was asked for" if thing and _singular(thing[0]) == thing[0] and a.tables_called(thing[0]) else None
 
 
-def _constants_of(plan: Plan) -> list[Literal]:
-    out: list[Literal] = []
-    for f in plan.filters:
-        if isinstance(f, Compare) and isinstance(f.value, Literal):
-            out.append(f.value)
-        elif isinstance(f, Member):
-            out += f.values
-        elif isinstance(f, Between):
-            out += [f.low, f.high]
-        elif isinstance(f, Like):
-            out.append(Literal("string", f.pattern.strip("%")))
-    return out
+def _constant_missing(a: Asked, d: Done) -> str | None:
+    held = {_bare(v.plain()) for v in d.constants}
+    lost = next((q for q in a.quoted if _bare(q) and _bare(q) not in held), None)
+    return f"nothing is filtered by {lost!r}" if lost else None
 
 
-def _unmatched_values(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    """Quoted values are filtered on, and filters don't make values up."""
-    flat = re.sub(r"[^0-9a-z]", "", question.lower())
-    held = [re.sub(r"[^0-9a-z]", "", str(v.plain()).lower()) for v in _constants_of(plan)]
-    for quoted in re.findall(r"'([^']+)'|\"([^\"]+)\"", question):
-        text = re.sub(r"[^0-9a-z]", "", "".join(quoted).lower())
-        if text and text not in held:
-            return Clarify("dropped_literals", f"nothing is filtered by {''.join(quoted)!r}")
-    listed = {re.sub(r"[^0-9a-z]", "", v.lower()) for t in catalog.tables for c in t.columns for v in c.values}
-    for v, text in zip(_constants_of(plan), held, strict=True):
-        stem = text[: max(4, len(text) - 2)]
-        if v.type == "string" and text and stem not in flat and text not in listed:
-            return Clarify("unmatched_values", f"{v.value!r} isn't in the question")
+def _constant_made_up(a: Asked, d: Done) -> str | None:
+    """A filter's text stands in the question (but for its ending) or is a value the catalog lists."""
+    listed = {_bare(v) for t in d.catalog.tables for c in t.columns for v in c.values}
+    flat = _bare(a.question)
+    for v in d.constants:
+        text = _bare(v.plain())
+        if v.type == "string" and text and text not in listed and text[: max(4, len(text) - 2)] not in flat:
+            return f"{v.value!r} isn't in the question"
     return None
 
 
-def _opaque_keys(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
+def _key_without_meaning(a: Asked, d: Done) -> str | None:
     """Groups shown by a number where the question names the thing."""
-    for c in plan.group_by:
-        column = catalog.column(c)
-        if column is not None and column.dtype == "int" and re.search(r"(id|key)$", c.column, re.I) and not re.search(r"\b(id|key|number)\b", question, re.I):
-            return Clarify("opaque_grouping_keys", f"{c} is a number without a meaning; group by a name")
+    if a.words & {"id", "key", "number"}:
+        return None
+    keys = {k.many_ref for k in d.catalog.join_keys} | {k.one_ref for k in d.catalog.join_keys}
+    for c in d.plan.group_by:
+        column = d.catalog.column(c)
+        if column is not None and column.dtype == "int" and c in keys:
+            return f"{c} is a number without a meaning; group by a name"
     return None
 
 
-def _missing_concepts(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
-    """Tables and columns the question names that the plan never touches."""
-    used = {t.lower() for t in plan.tables}
-    touched: set[str] = set()
-    for _, _, ref in plan.reads():
-        touched |= _named(ref.column)
-    for t in plan.tables:
-        touched |= _named(t)
-        if plan.is_list and t in catalog.by_name:
-            touched |= {w for c in catalog.by_name[t].columns for w in _named(c.name)}
-    asked = words(question) - COMMON_WORDS
-    meant = {s.target: s.term for s in catalog.synonyms if words(s.term) <= words(question)}
-    lost = [term for target, term in meant.items() if target.split(".")[0].lower() not in used]
-    for t in catalog.tables:
-        hit = _named(t.name) & asked - touched
-        if hit and t.name.lower() not in used:
-            lost += sorted(hit)[:1]
-    return Clarify("missing_concepts", f"{lost[0]} was asked about and isn't in the plan") if lost else None
-
-
-def _unrelated_metric(question: str, metric_id: str) -> Clarify | None:
-    return None if {w for w in words(metric_id) if len(w) > 3} & words(question) else Clarify("unrelated_metric", f"the metric {metric_id} has no word of the question")
+def _thing_missing(a: Asked, d: Done) -> str | None:
+    """Tables the question names that the plan never touches."""
+    used = set(d.plan.tables)
+    touched = {w for t in used for w in _called(t)} | {w for _, _, ref in d.plan.reads() for w in _called(ref.column)}
+    if d.plan.is_list:
+        touched |= {w for t in used & set(d.catalog.by_name) for c in d.catalog.by_name[t].columns for w in _called(c.name)}
+    for s in d.catalog.synonyms:
+        if words(s.term) <= a.words and s.target.split(".")[0] not in used:
+            return f"{s.term} was asked about and isn't in the plan"
+    for t in d.catalog.tables:
+        if t.name not in used and (hit := sorted((_called(t.name) & a.words) - touched - FUNCTION_WORDS)):
+            return f"{hit[0]} was asked about and isn't in the plan"
+    return None
 
 
-PLAN_GUARDS: tuple[Callable[[str, Plan, Catalog], Clarify | None], ...] = (
-    _inexpressible, _dropped_count, _dropped_average, _averaged_other, _other_entity, _list_for_one, _unmatched_values, _opaque_keys, _missing_concepts,
-)
+#: The codes are part of the answer's form.
+RULES: tuple[tuple[str, Callable[[Asked, Done], str | None]], ...] = (
+    ("inexpressible_request", _between_aggregates),
+    ("dropped_count", _count_missing),
+    ("dropped_average", _mean_missing),
+    ("averaged_per_other_entity", _mean_of_other),
+    ("counted_other_entity", _count_of_other),
+    ("ranked_list_for_singular_question", _many_for_one),
+    ("dropped_literals", _constant_missing),
+    ("unmatched_values", _constant_made_up),
+    ("opaque_grouping_keys", _key_without_meaning),
+    ("missing_concepts", _thing_missing),
+)
 
 
 def after_planning(question: str, plan: Plan, catalog: Catalog) -> Clarify | None:
     """The first thing that speaks against a plan as an answer to the question."""
-    return next((found for guard in PLAN_GUARDS if (found := guard(question, plan, catalog))), None)
+    asked, done = Asked(question, catalog), Done(plan, catalog)
+    return next((Clarify(code, message) for code, rule in RULES if (message := rule(asked, done))), None)
 
 
 def metric_guard(question: str, metric_id: str) -> Clarify | None:
-    return _unrelated_metric(question, metric_id)
+    told = {w for w in _word_list(metric_id) if len(w) > 3}
+    return None if told & words(question) else Clarify("unrelated_metric", f"the metric {metric_id} has no word of the question")
 
 
 __all__ = ["Clarify", "Ref", "after_planning", "before_planning", "dropped_constants", "dropped_measures", "metric_guard", "out_of_scope", "unknown_terms"]

@@ -19,9 +19,9 @@ from quillgate.sqlguard.tree import parse
 
 
 def test_value_lists(spark):
-    rows = [("Cake", f"label {i}", "x" * 50, f"a{i}@b.c") for i in range(3)] + [("Tart", "label 3", "x" * 50, None)]
-    df = spark.createDataFrame(rows, "kind string, label string, long string, mail string")
-    assert {r.column_name: r.stored for r in profile.value_lists(df, ["kind", "label", "long"]).collect()} == {"kind": ["Cake", "Tart"]}
+    rows = [("granite", f"quarry {i}", "y" * 60, f"s{i}@pit.example") for i in range(4)] + [("slate", "quarry 4", "y" * 60, None), ("slate", "quarry 5", "y" * 60, None)]
+    df = spark.createDataFrame(rows, "stone string, pit string, report string, contact string")
+    assert {r.column_name: r.stored for r in profile.value_lists(df, ["stone", "pit", "report"]).collect()} == {"stone": ["granite", "slate"]}
     assert profile.value_lists(df, []).count() == 0
     many = spark.range(2000).select((F.col("id") % 26).cast("string").alias("a"), (F.col("id") % 25).cast("string").alias("b"))
     assert [r.column_name for r in profile.value_lists(many, ["a", "b"]).collect()] == ["b"]
@@ -31,13 +31,15 @@ def test_column_statistics(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, v string")
     got = {r.column_name: (r.n_rows, r.n_values, r.n_distinct) for r in profile.column_statistics(df).collect()}
     assert got == {"k": (3, 3, 2), "v": (3, 2, 2)}
+    assert {r.column_name: (r.n_rows, r.n_values, r.n_distinct) for r in profile.column_statistics(df.limit(0)).collect()} == {"k": (0, 0, 0), "v": (0, 0, 0)}
 
 
 @pytest.mark.parametrize(
     "column, table, key, agrees",
     [
-        ("customer_id", "customers", "id", True), ("cust_id", "customers", "id", True), ("customerid", "customers", "customerid", True), ("country", "countries", "code", True),
-        ("id", "customers", "id", False), ("name", "shops", "name", False), ("store_id", "customers", "id", False), ("city_code", "cities", "code", True), ("xid", "x_things", "id", False),
+        ("vessel_id", "vessels", "id", True), ("vess_id", "vessels", "id", True), ("vesselid", "vessels", "vesselid", True), ("harbour", "harbours", "code", True), ("hrbr_code", "harbours", "code", True),
+        ("v_harbourkey", "harbour", "h_harbourkey", True), ("ferry_no", "ferries", "no", True), ("pilot_licence", "harbour_pilots", "licence", True),
+        ("id", "vessels", "id", False), ("name", "piers", "name", False), ("pier_id", "vessels", "id", False), ("vid", "v_logs", "id", False), ("ve_id", "vessels", "id", False),
     ],
 )
 def test_names_agree(column, table, key, agrees):
@@ -46,19 +48,20 @@ def test_names_agree(column, table, key, agrees):
 
 def test_discover_joins(spark):
     catalog = Catalog(
-        "c",
+        "port",
         (
-            Table("customers", (Column("id", "int"), Column("email", pii="high"))),
-            Table("orders", (Column("order_id", "int"), Column("customer_id", "int"), Column("store_id", "int"), Column("email", pii="high"))),
-            Table("refunds", (Column("refund_id", "int"), Column("order_id", "int"))),
+            Table("vessels", (Column("id", "int"), Column("radio", pii="high"))),
+            Table("calls", (Column("call_no", "int"), Column("vessel_id", "int"), Column("berth_id", "int"), Column("radio", pii="high"))),
+            Table("tows", (Column("tow_no", "int"), Column("call_no", "int"))),
         ),
     )
     frames = {
-        "customers": spark.createDataFrame([(i, f"e{i}") for i in range(20)], "id int, email string"),
-        "orders": spark.createDataFrame([(i, i % 7, 90 + i, f"e{i}") for i in range(40)], "order_id int, customer_id int, store_id int, email string"),
-        "refunds": spark.createDataFrame([(i, 35 + i) for i in range(10)], "refund_id int, order_id int"),
+        "vessels": spark.createDataFrame([(i, f"r{i}") for i in range(25)], "id int, radio string"),
+        "calls": spark.createDataFrame([(i, i % 6, 70 + i, f"r{i}") for i in range(30)], "call_no int, vessel_id int, berth_id int, radio string"),
+        # some tows are of calls that aren't there
+        "tows": spark.createDataFrame([(i, 27 + i) for i in range(8)], "tow_no int, call_no int"),
     }
-    assert profile.discover_joins(frames, catalog) == [profile.FoundKey("orders.customer_id", "customers.id")]
+    assert profile.discover_joins(frames, catalog) == [profile.FoundKey("calls.vessel_id", "vessels.id")]
 
 
 def test_draft_and_drift(spark):
@@ -112,9 +115,10 @@ def test_same_rows():
 
 
 def test_ties_leaks_and_fingerprints():
-    whole = [("a", 5), ("b", 3), ("c", 3), ("d", 3)]
-    assert compare.valid_tie([("a", 5), ("d", 3)], whole[:2], whole) and not compare.valid_tie([("a", 5), ("e", 3)], whole[:2], whole)
-    assert not compare.valid_tie(whole, whole, whole)
+    whole = [("oak", 9), ("elm", 4), ("ash", 4), ("yew", 4)]
+    assert compare.valid_tie([("oak", 9), ("yew", 4)], whole[:2], whole) and compare.valid_tie([(4, "ash"), (9, "oak")], whole[:2], whole)
+    assert not compare.valid_tie([("oak", 9), ("fir", 4)], whole[:2], whole) and not compare.valid_tie([("elm", 4), ("yew", 4)], whole[:2], whole)
+    assert not compare.valid_tie([("yew", 4), ("yew", 4)], whole[:2], whole) and not compare.valid_tie([("oak", 9)], whole[:1], whole[:2]) and not compare.valid_tie(whole, whole, whole)
     assert compare.leaks(["Email", "x", "y"], [("q", "me@home.org", 1)], frozenset({"email"})) == ["Email", "x"]
     a = compare.fingerprint([(1, "x"), (2, "y")])
     assert a == compare.fingerprint([("y", 2.00001), ("x", 1)]) != compare.fingerprint([(1, "y"), (2, "x")]) and len(a) == 16
@@ -128,6 +132,7 @@ def test_fingerprint_and_difference_of_frames(spark):
     assert print_of(df) != print_of(df.distinct()) and print_of(df.limit(0)).n_rows == 0
     assert compare.frames_differ(df, df.withColumn("c", F.col("c") + 1e-9)).count() == 0
     assert [(r.side, r.a) for r in compare.frames_differ(df, df.distinct()).collect()] == [("left", 2)]
+    assert sorted((r.side, r.a) for r in compare.frames_differ(df.limit(1), df.unionAll(df)).collect()) == [("right", 1), ("right", 2), ("right", 2), ("right", 2), ("right", 2)]
 
 
 # --- evidence ------------------------------------------------------------------------------------------
