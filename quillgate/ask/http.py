@@ -1,6 +1,6 @@
 """The question pipeline over HTTP, with nothing but the standard library.
 
-``GET /health /ready /metrics`` and ``POST /ask /ask/confirm /ask/execute``; bodies are JSON objects whose
+``GET / /health /ready /metrics`` and ``POST /ask /ask/confirm /ask/execute``; bodies are JSON objects whose
 unknown keys are refused. The caller is told by the bearer token of the registry.
 """
 
@@ -34,6 +34,8 @@ class Service:
     def handle(self, method: str, path: str, token: str, body: bytes) -> tuple[int, str, str]:
         """(status, content type, text) of a request."""
         if method == "GET":
+            if path == "/":
+                return 200, "application/json", json.dumps({"service": "quillgate", "ask": ["/ask", "/ask/confirm", "/ask/execute"], "state": ["/health", "/ready", "/metrics"]})
             if path == "/health":
                 return 200, "text/plain", "ok"
             if path == "/ready":
@@ -51,7 +53,7 @@ class Service:
         wanted = "review" if path == "/ask/execute" else "question"
         try:
             data = json.loads(body)
-            if set(data) != {wanted}:
+            if not isinstance(data, dict) or set(data) != {wanted}:
                 raise ValueError(f"the body holds {wanted!r} and nothing else")
         except ValueError as e:
             return self._error(400, "invalid_request", str(e))

@@ -6,6 +6,7 @@ and run side by side, and an answer is given only if both give the same rows.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -13,9 +14,11 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 from quillgate.ask.guards import Clarify, after_planning, before_planning, dropped_constants, metric_guard
+from quillgate.ask.prompt import prompt, proposal_schema
+from quillgate.ask.retrieve import link_confidence, relevant_tables, suggestions
 from quillgate.evidence.bundle import Evidence, open_review, signed_review
 from quillgate.operators.compare import fingerprint
-from quillgate.operators.ground import ground
+from quillgate.operators.ground import ground, respelled
 from quillgate.plans.catalog import Catalog
 from quillgate.plans.explain import explain
 from quillgate.plans.ir import Plan
@@ -43,6 +46,22 @@ class Scripted:
         return left.pop(0) if len(left) > 1 else left[0]
 
 
+#: What a reading can end in that is told by its own code.
+_OWN_CODES = frozenset({"no_stored_value", "low_link_confidence"})
+
+
+@dataclass
+class Prompted:
+    """A client over any model that completes a text under a JSON schema."""
+
+    complete: Callable[[str, dict[str, Any]], str]
+    catalog: Catalog
+
+    def propose(self, question: str, catalog_text: str, problems: list[str]) -> dict[str, Any]:
+        answer = json.loads(self.complete(prompt(question, catalog_text, problems), proposal_schema(self.catalog)))
+        return answer if isinstance(answer, dict) else {"refuse": "no_plan"}
+
+
 @dataclass(frozen=True)
 class Outcome:
     status: str
@@ -89,14 +108,14 @@ class Asker:
     readings: int = 2
     repairs: int = 1
     record: Callable[[dict[str, Any]], None] | None = None
+    #: How much of what the question names must be in the tables read; none: not asked.
+    least_confidence: float | None = None
 
     @property
     def catalog(self) -> Catalog:
         return self.session.catalog
 
     def ask(self, question: str, *, confirm_only: bool = False) -> Outcome:
-        from quillgate.ask.retrieve import relevant_tables, suggestions
-
         clarify = before_planning(question, self.catalog)
         if clarify:
             return self._end(question, Outcome("clarify", clarify.code, clarify.message, suggestions=tuple(suggestions(self.catalog))))
@@ -152,11 +171,17 @@ class Asker:
                         continue
                     df, query_hash, shown = compiled.df, compiled.plan_hash, explain(compiled.plan)
                 else:
-                    sql = self._grounded(str(proposal.get("sql", "")))
+                    sql, nowhere = self._grounded(str(proposal.get("sql", "")))
+                    if nowhere:
+                        problems = [f"no_stored_value: nothing is stored as {', '.join(nowhere)}"]
+                        continue
                     if missing := dropped_constants(question, sql):
                         problems = [f"dropped_literals: the query leaves out {', '.join(missing)}"]
                         continue
                     query = self.session.query(sql)
+                    if self.least_confidence is not None and link_confidence(question, self.catalog, query.approved.tables) < self.least_confidence:
+                        problems = ["low_link_confidence: the question names other tables than the query reads"]
+                        continue
                     df, query_hash, shown = query.df, query.query_hash, sql
             except Rejected as e:
                 problems = [f"{i.code}: {i.message}" for i in e.issues]
@@ -170,16 +195,15 @@ class Asker:
                 return Reading(shown, query_hash, len(df.columns), self.session.run(df, query_hash, self.options))
             except (RuntimeError, TimedOut) as e:
                 return Clarify("validation_failed", str(e))
-        return Clarify("validation_failed", "; ".join(problems))
+        code = problems[0].partition(":")[0] if problems else ""
+        return Clarify(code if code in _OWN_CODES else "validation_failed", "; ".join(problems))
 
-    def _grounded(self, sql: str) -> str:
-        """Constants in the spelling they are stored in, where there is one spelling only."""
+    def _grounded(self, sql: str) -> tuple[str, list[str]]:
+        """Constants in the spelling they are stored in, where there is one spelling only; and those stored nowhere."""
         parsed = parse(self.session.spark, sql)
         approved = self.session.query(sql).approved
-        for old, new in ground(parsed.root, self.catalog, self.session.filtered, approved.tables).replacements.items():
-            quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-            sql = sql.replace(quoted(old), quoted(new))
-        return sql
+        found = ground(parsed.root, self.catalog, self.session.filtered, approved.tables)
+        return respelled(sql, found.replacements, lambda text: parse(self.session.spark, text).root), found.unmatched
 
     def _end(self, question: str, outcome: Outcome) -> Outcome:
         evidence = Evidence(

@@ -109,12 +109,22 @@ def summarize(judged: Iterable[Judged]) -> dict[str, Any]:
     }
 
 
-def run_cases(cases: Iterable[Case], attempt: Callable[[Case], Attempt], run_reference: Callable[[str], list[tuple]], *, repeats: int = 1, high_pii: frozenset[str] = frozenset()) -> list[Judged]:
+def run_cases(
+    cases: Iterable[Case],
+    attempt: Callable[[Case], Attempt],
+    run_reference: Callable[[str], list[tuple]],
+    *,
+    repeats: int = 1,
+    high_pii: frozenset[str] = frozenset(),
+    run_unlimited: Callable[[str], list[tuple] | None] | None = None,
+) -> list[Judged]:
+    """``run_unlimited`` gives the reference's rows without its limit (none if it has none): other cuts at a tie are right too."""
     out = []
     for case in cases:
         reference = run_reference(case.reference) if case.reference else None
+        unlimited = run_unlimited(case.reference) if case.reference and run_unlimited else None
         tries = [attempt(case) for _ in range(repeats)]
-        verdicts = [judge(case, t, reference, high_pii=high_pii) for t in tries]
+        verdicts = [judge(case, t, reference, unlimited, high_pii) for t in tries]
         out.append(Judged(case, verdicts, [t.refusal for t in tries if t.refusal], [t.shape for t in tries]))
     return out
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgate.plans.catalog import Catalog, Ref
 from quillgate.sqlguard.tree import Node
 
-MOST_LITERALS, MOST_CANDIDATES, MOST_COLUMNS, MOST_SIMILAR = 5, 50, 8, 3
+MOST_CANDIDATES, MOST_SIMILAR = 50, 3
 
 Tables = Callable[[str], DataFrame]
 
@@ -48,11 +48,17 @@ def stored_like(tables: Tables, ref: Ref, text: str) -> DataFrame:
     return tables(ref.table).filter(bare_column(c) == bare(text)).select(c.alias("value")).distinct().orderBy("value").limit(MOST_CANDIDATES)
 
 
-def stored_elsewhere(tables: Tables, catalog: Catalog, ref: Ref, text: str) -> DataFrame:
-    """``column_name, value``: other text columns (eight at most, by catalog order) that store the text."""
-    others = [Ref(t.name, c.name) for t in catalog.tables for c in t.columns if c.dtype == "str" and c.pii != "high" and Ref(t.name, c.name) != ref][:MOST_COLUMNS]
-    parts = [stored_like(tables, o, text).select(F.lit(str(o)).alias("column_name"), "value") for o in others]
-    return reduce(DataFrame.unionByName, parts)
+def stored_elsewhere(tables: Tables, catalog: Catalog, ref: Ref, text: str, *, most: int | None = None) -> DataFrame:
+    """``column_name, value``: other text columns that store the text; all of them, or the first ``most`` of the catalog.
+
+    A table is read once, whatever the number of its columns.
+    """
+    others = [Ref(t.name, c.name) for t in catalog.tables for c in t.columns if c.dtype == "str" and c.pii != "high" and Ref(t.name, c.name) != ref][:most]
+    parts = []
+    for table in dict.fromkeys(o.table for o in others):
+        cells = F.explode(F.array(*[F.struct(F.lit(str(o)).alias("column_name"), F.col(f"`{o.column}`").alias("value")) for o in others if o.table == table]))
+        parts.append(tables(table).select(cells.alias("c")).select("c.*").filter(bare_column(F.col("value")) == bare(text)).distinct())
+    return reduce(DataFrame.unionByName, parts).orderBy("column_name", "value")
 
 
 def similar(tables: Tables, ref: Ref, text: str) -> list[str]:
@@ -100,21 +106,40 @@ def constants(root: Node) -> list[Constant]:
     return list(dict.fromkeys(out))
 
 
+_LEXEMES = re.compile(r"--[^\n]*|/\*.*?\*/|\"[^\"]*\"|`[^`]*`|(?P<text>'(?:[^'\\]|\\.|'')*')", re.S)
+
+
+def respelled(text: str, spelling: dict[str, str], parsed: Callable[[str], Node]) -> str:
+    """The query with its compared constants in another spelling; the same text elsewhere stays as it is.
+
+    Whether a text in quotes is a constant that is compared, the parse tells: it is if a mark put in its place is one.
+    """
+    for m in reversed([m for m in _LEXEMES.finditer(text) if m["text"]]):
+        old = m["text"][1:-1].replace("''", "'").replace("\\'", "'").replace("\\\\", "\\")
+        if old in spelling:
+            mark = f"mark {m.start()}"
+            marked = text[: m.start()] + f"'{mark}'" + text[m.end() :]
+            if any(c.value == mark and not c.folded for c in constants(parsed(marked))):
+                new = spelling[old].replace("\\", "\\\\").replace("'", "\\'")
+                text = text[: m.start()] + f"'{new}'" + text[m.end() :]
+    return text
+
+
 @dataclass(frozen=True)
 class Grounding:
     replacements: dict[str, str]
     unmatched: list[str]
 
 
-def ground(root: Node, catalog: Catalog, tables: Tables, reads: set[str]) -> Grounding:
-    """For a query's first constants: the stored spelling where there is exactly one, and those stored nowhere.
+def ground(root: Node, catalog: Catalog, tables: Tables, reads: set[str], *, most: int | None = None) -> Grounding:
+    """For a query's constants (all, or the first ``most``): the stored spelling where there is exactly one, and those stored nowhere.
 
     A constant compared under NOT may well be stored nowhere; one compared after folding case matches any
     case; one that would be replaced in two ways is left alone.
     """
     targets: dict[str, set[str]] = {}
     unmatched: list[str] = []
-    for c in constants(root)[:MOST_LITERALS]:
+    for c in constants(root)[:most]:
         refs = [Ref(t, x.name) for t in sorted(reads) for x in catalog.by_name[t].columns if x.name.lower() == c.column.lower() and x.dtype == "str" and x.pii != "high"]
         if not refs:
             continue

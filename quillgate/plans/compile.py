@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quillgate.plans.catalog import Catalog, Metric, Ref
 from quillgate.plans.checks import issues_of, normalize, safe_columns, semi_joins
-from quillgate.plans.ir import Aggregation, Between, Bucket, Compare, IsNull, Like, Member, Order, Plan, Predicate
+from quillgate.plans.ir import Aggregation, Between, Bucket, Compare, IsNull, Join, Like, Member, Order, Plan, Predicate
 from quillgate.plans.issues import Issue, Rejected
 
 Tables = Callable[[str], DataFrame]
@@ -174,6 +174,18 @@ def group_key(spec: str) -> Ref | Bucket:
     return Bucket(Ref.of(name), grain) if grain else Ref.of(name)
 
 
+def join_spec(spec: str) -> Join:
+    """``Left:Right:Left.a=Right.b``, more conditions after commas: the join that brings ``Right`` to what holds ``Left``."""
+    left, right, conditions = (p.strip() for p in spec.split(":", 2))
+    pairs = []
+    for condition in conditions.split(","):
+        ends = [Ref.of(e.strip()) for e in condition.split("=")]
+        if {e.table for e in ends} != {left, right} or len(ends) != 2:
+            raise ValueError(f"the join {spec!r} states a condition of other tables")
+        pairs.append(tuple(sorted(ends, key=lambda e: e.table != left)))
+    return Join(right, tuple(pairs))
+
+
 def metric_plan(metric: Metric, limit: int | None) -> Plan:
     """The plan a metric stands for; grouped metrics are ranked by their first measure."""
     specs = metric.aggregations if metric.kind == "plan" else (metric.numerator, metric.denominator)
@@ -182,6 +194,7 @@ def metric_plan(metric: Metric, limit: int | None) -> Plan:
     ranked = (Order(alias=measures[0].alias, descending=True),) if keys and metric.kind == "plan" else ()
     return Plan(
         source=metric.source,
+        joins=tuple(join_spec(j) for j in metric.joins),
         group_by=tuple(k for k in keys if isinstance(k, Ref)),
         buckets=tuple(k for k in keys if isinstance(k, Bucket)),
         aggregations=measures,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import bisect
+import hashlib
 import hmac
+import itertools
 import json
 import threading
 import time
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -75,6 +79,49 @@ class Registry:
         return self.principal(found)
 
 
+def _part(text: str) -> bytes:
+    return base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+
+
+def signed_principal(token: str, key: bytes, registry: Registry, *, audience: str | None = None, issuer: str | None = None, now: float | None = None, leeway_s: float = 30) -> Principal:
+    """The principal a signed web token (HS256) is about; its subject must stand in the registry.
+
+    Refused are other signatures and algorithms, a token without an end, one that has ended or hasn't
+    begun (give or take ``leeway_s``), and one for another audience or from another issuer.
+    """
+    now = time.time() if now is None else now
+    try:
+        head, body, seal = token.split(".")
+        if json.loads(_part(head)).get("alg") != "HS256" or not hmac.compare_digest(hmac.new(key, f"{head}.{body}".encode(), hashlib.sha256).digest(), _part(seal)):
+            raise PermissionError("the token's signature does not hold")
+        claims = json.loads(_part(body))
+    except (ValueError, AttributeError) as e:
+        raise PermissionError("not a signed token") from e
+    if not isinstance(claims.get("exp"), (int, float)) or now > claims["exp"] + leeway_s or now < claims.get("nbf", now) - leeway_s:
+        raise PermissionError("the token is out of its time")
+    audiences = claims.get("aud", [])
+    if audience is not None and audience not in ([audiences] if isinstance(audiences, str) else audiences):
+        raise PermissionError("the token is for another audience")
+    if issuer is not None and claims.get("iss") != issuer:
+        raise PermissionError("the token is from another issuer")
+    return registry.principal(str(claims.get("sub", "")))
+
+
+def forwarded_principal(headers: Mapping[str, str], registry: Registry, *, secret: str, name: str = "X-Principal", proof: str = "X-Proxy-Secret") -> Principal:
+    """The principal a trusted proxy names in a header; the proxy proves itself by a secret in another."""
+    given = {k.lower(): v for k, v in headers.items()}
+    if not secret or not hmac.compare_digest(given.get(proof.lower(), "").encode(), secret.encode()):
+        raise PermissionError("the proxy is not known")
+    return registry.principal(given.get(name.lower(), ""))
+
+
+def development_principal(registry: Registry, who: str, *, host: str) -> Principal:
+    """A fixed principal for work on one's own machine; refused where the service listens to others."""
+    if host not in ("127.0.0.1", "::1", "localhost"):
+        raise PermissionError("a fixed principal is for the local machine only")
+    return registry.principal(who)
+
+
 @dataclass
 class RateLimit:
     """A bucket of tokens for each principal."""
@@ -96,22 +143,26 @@ class RateLimit:
 
 @dataclass
 class Counters:
-    """Outcomes and seconds, in the text form monitoring systems read."""
+    """Outcomes and seconds, in the text form monitoring systems read; of the seconds only sums and counts by bound are kept."""
 
     bounds: tuple[float, ...] = (0.1, 0.5, 1, 5, 30)
     _outcomes: Counter = field(default_factory=Counter)
-    _seconds: dict[str, list[float]] = field(default_factory=lambda: defaultdict(list))
+    _within: dict[str, list[int]] = field(default_factory=dict)
+    _sums: Counter = field(default_factory=Counter)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def add(self, status: str, code: str, seconds: float) -> None:
         with self._lock:
             self._outcomes[status, code] += 1
-            self._seconds[status].append(seconds)
+            self._sums[status] += seconds
+            within = self._within.setdefault(status, [0] * (len(self.bounds) + 1))
+            within[bisect.bisect_left(self.bounds, seconds)] += 1
 
     def text(self) -> str:
         with self._lock:
             lines = [f'asks_total{{status="{s}",code="{c}"}} {n}' for (s, c), n in sorted(self._outcomes.items())]
-            for status, values in sorted(self._seconds.items()):
-                lines += [f'ask_seconds_bucket{{status="{status}",le="{b:g}"}} {sum(v <= b for v in values)}' for b in self.bounds]
-                lines += [f'ask_seconds_sum{{status="{status}"}} {sum(values):g}', f'ask_seconds_count{{status="{status}"}} {len(values)}']
+            for status, within in sorted(self._within.items()):
+                upto = list(itertools.accumulate(within))
+                lines += [f'ask_seconds_bucket{{status="{status}",le="{b:g}"}} {n}' for b, n in zip(self.bounds, upto, strict=False)]
+                lines += [f'ask_seconds_sum{{status="{status}"}} {self._sums[status]:g}', f'ask_seconds_count{{status="{status}"}} {upto[-1]}']
         return "\n".join(lines) + "\n"

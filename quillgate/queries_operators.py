@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from quillgate.operators import compare, ground, profile
 from quillgate.plans.catalog import Catalog, Column, Ref, Table
 from quillgate.queries_relational import governed
 from quillgate.sources.readers import typed_copy
-from quillgate.workspace import read_table
+from quillgate.workspace import fresh_dir, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,25 +85,49 @@ def discover_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k.many, k.one) for k in found], "many_side string, one_side string")
 
 
-@_query("select * from (values ('breaking', 'genre', 'color', 'column is missing'), ('new', 'genre', 'name', 'column is not in the catalog'), ('breaking', 'gone', null, 'table is missing')) t(severity, table_name, column_name, detail)")
+_DTYPE = """case when data_type like '%[]' then 'str' when data_type in ('VARCHAR', 'STRING') then 'str' when data_type like '%INT%' then 'int' when data_type like 'TIMESTAMP%' or data_type = 'DATE' then 'datetime' when data_type = 'BOOLEAN' then 'bool' else 'float' end"""
+_KNOWN = ", ".join(f"('{t.name}', '{c.name}', '{c.dtype}')" for t in CATALOG.tables for c in t.columns)
+
+
+@_query(
+    f"""with known(table_name, column_name, dtype) as (values {_KNOWN}, ('gone', 'x', 'str'), ('genre', 'color', 'str'), ('region', 'r_name', 'int')),
+    stored as (select table_name, column_name, {_DTYPE} as dtype from information_schema.columns where table_name in (select table_name from known) or table_name = 'part'),
+    kept as (select * from known where table_name <> 'part' and not (table_name = 'region' and column_name = 'r_name' and dtype = 'str') and not (table_name = 'nation' and column_name = 'n_name'))
+    select 'breaking' as severity, table_name, null as column_name, 'table is missing' as detail from kept where table_name not in (select table_name from stored) group by table_name
+    union all select 'new', table_name, null, 'table is not in the catalog' from stored where table_name = 'part' group by table_name
+    union all select 'breaking', k.table_name, k.column_name, 'column is missing' from kept k where k.table_name in (select table_name from stored) and not exists (select 1 from stored s where s.table_name = k.table_name and s.column_name = k.column_name)
+    union all select 'breaking', k.table_name, k.column_name, 'type changed from ' || k.dtype || ' to ' || s.dtype from kept k join stored s using (table_name, column_name) where k.dtype <> s.dtype and not (k.dtype = 'json' and s.dtype = 'str')
+    union all select 'new', s.table_name, s.column_name, 'column is not in the catalog' from stored s where s.table_name <> 'part' and not exists (select 1 from kept k where s.table_name = k.table_name and s.column_name = k.column_name)"""
+)
 def catalog_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = Catalog("old", (Table("genre", (Column("genreid", "int"), Column("color"))), Table("gone", (Column("x"),))))
-    return profile.catalog_drift(spark, old, {"genre": read_table(spark, sf_dir, "genre").schema})
+    """The stored tables against a catalog that has lost a table and a column, has two of its own, and is wrong about a type."""
+
+    def changed(t: Table) -> Table:
+        columns = tuple(Column(c.name, "int") if (t.name, c.name) == ("region", "r_name") else c for c in t.columns if (t.name, c.name) != ("nation", "n_name"))
+        return Table(t.name, (*columns, Column("color")) if t.name == "genre" else columns)
+
+    old = Catalog("old", (*(changed(t) for t in CATALOG.tables if t.name != "part"), Table("gone", (Column("x"),))))
+    return profile.catalog_drift(spark, old, {t.name: read_table(spark, sf_dir, t.name).schema for t in CATALOG.tables})
 
 
-@_query("select table_name, column_name, dtype from (values ('genre', 'genreid', 'int'), ('genre', 'name', 'str'), ('region', 'r_regionkey', 'int'), ('region', 'r_name', 'str')) t(table_name, column_name, dtype)")
+@_query(f"select table_name, column_name, {_DTYPE} as dtype from information_schema.columns where table_name in ('genre', 'region', 'orders', 'track', 'audit_record', 'principal_profile')")
 def schema_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drafted = profile.draft_catalog("draft", {t: read_table(spark, sf_dir, t).schema for t in ("genre", "region")})
+    names = ("genre", "region", "orders", "track", "audit_record", "principal_profile")
+    drafted = profile.draft_catalog("draft", {t: read_table(spark, sf_dir, t).schema for t in names})
     return spark.createDataFrame([(t.name, c.name, c.dtype) for t in drafted.tables for c in t.columns], "table_name string, column_name string, dtype string")
 
 
-@_query("select count(*) as n_rows, true as order_free from lineitem")
+@_query("select count(*) as n_rows, true as order_free, true as sees_one_cell, true as sees_one_row from lineitem")
 def answer_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fingerprint of a large result, and that it doesn't depend on the order of rows or columns."""
+    """That the fingerprint of a large result doesn't depend on the order of rows or columns, but on every cell and row."""
     rows = read_table(spark, sf_dir, "lineitem")
     other = rows.select(*[f"`{c}`" for c in reversed(rows.columns)]).repartition(7, "l_partkey")
-    a, b = compare.fingerprint_frame(rows), compare.fingerprint_frame(other).withColumnRenamed("fingerprint", "other")
-    return a.join(b, "n_rows").select("n_rows", (F.col("fingerprint") == F.col("other")).alias("order_free"))
+    one = rows.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("m")).first()["m"]
+    at_one = (F.col("l_orderkey") == one[0]) & (F.col("l_linenumber") == one[1])
+    cell = rows.withColumn("l_tax", F.when(at_one, F.col("l_tax") + 0.5).otherwise(F.col("l_tax")))
+    of = [compare.fingerprint_frame(d).first() for d in (rows, other, cell, rows.unionAll(rows.filter(at_one)))]
+    same = [r.fingerprint == of[0].fingerprint for r in of]
+    return spark.createDataFrame([(of[0].n_rows, same[1], not same[2], not same[3])], "n_rows bigint, order_free boolean, sees_one_cell boolean, sees_one_row boolean")
 
 
 @_query("select 'left' as side, l_orderkey, l_linenumber from lineitem where l_quantity > 49 and l_returnflag = 'R'")
@@ -110,12 +136,18 @@ def result_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.frames_differ(rows, rows.filter("l_returnflag <> 'R'")).select("side", "l_orderkey", "l_linenumber")
 
 
-@_query("select cast(i as bigint) as seq, true as holds from range(40) t(i)")
+@_query("select row_number() over (order by n_nationkey) - 1 as seq, n_nationkey <> 6 as holds from nation")
 def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tempfile.mkdtemp(prefix="ledger-") + "/ledger.jsonl"
-    for i in range(40):
-        ledger.append(path, {"n": i, "status": "ok"})
-    return ledger.verify_frame(spark, f"file://{path}")
+    """A ledger of the nations, one of whose lines was changed afterwards."""
+    names = [r.n_name for r in read_table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    with tempfile.TemporaryDirectory() as folder:  # read by this process only
+        for name in names:
+            ledger.append(f"{folder}/ledger.jsonl", {"nation": name, "status": "ok"})
+        lines = [json.loads(x) for x in Path(folder, "ledger.jsonl").read_text().splitlines()]
+    lines[6]["body"] = lines[6]["body"].replace(names[6], "ATLANTIS")
+    path = fresh_dir(spark, "ledger")
+    spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "i int, value string").coalesce(1).orderBy("i").select("value").write.text(path)
+    return ledger.verify_frame(spark, path)
 
 
 @_query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")

@@ -67,7 +67,7 @@ for _name, _args, _where in (
     ("filter_between", ("lineitem.l_quantity", "between", 5, 15), "lineitem where l_quantity between 5 and 15"),
     ("filter_is_null", ("track.genreid", "is_null"), "track where genreid is null"),
     ("filter_not_null", ("track.genreid", "not_null"), "track where genreid is not null"),
-    ("filter_like", ("part.p_type", "like", "%STEEL%"), "part where p_type like '%STEEL%'"),
+    ("filter_like", ("part.p_type", "like", "%AR%"), "part where p_type like '%AR%'"),
     ("filter_ilike", ("part.p_name", "ilike", "%a%"), "part where p_name ilike '%a%'"),
     ("filter_col_vs_col", ("lineitem.l_discount", "gt", Ref("lineitem", "l_tax")), "lineitem where l_discount > l_tax"),
 ):
@@ -174,7 +174,7 @@ for _name, _text in {
     "sql_in_subquery": "select o_orderstatus, count(*) as n from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'MACHINERY') group by o_orderstatus",
     "sql_not_in_subquery": "select count(*) as n from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)",
     "sql_exists": "select c_mktsegment, count(*) as n from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 400000) group by c_mktsegment",
-    "sql_not_exists": "select c_mktsegment, count(*) as n from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey) group by c_mktsegment",
+    "sql_not_exists": "select c_mktsegment, count(*) as n from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 300000) group by c_mktsegment",
     "sql_correlated_scalar": "select count(*) as n from orders o where o.o_totalprice = (select max(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)",
     "sql_inner_join": "select n_name, count(*) as n, round(sum(c_acctbal), 2) as balance from customer c join nation n on c.c_nationkey = n.n_nationkey group by n_name",
     "sql_left_join": "select g.name, count(t.trackid) as n from genre g left join track t on t.genreid = g.genreid group by g.name",
@@ -215,10 +215,12 @@ for _name, _text in {
     "sql_null_functions": "select coalesce(composer, 'unknown') as who, count(*) as n from track group by coalesce(composer, 'unknown') having count(*) > 1",
     "sql_math_functions": "select l_linenumber, round(avg(abs(l_discount - l_tax)), 8) as gap, max(floor(l_quantity / 7)) as weeks, round(max(sqrt(l_quantity)), 8) as root from lineitem group by l_linenumber",
     "sql_date_functions": "select year(o_orderdate) as y, month(o_orderdate) as m, count(*) as n from orders group by year(o_orderdate), month(o_orderdate)",
+    "sql_date_parts": "select extract(quarter from o_orderdate) as q, date_part('day', o_orderdate) as d, count(*) as n from orders group by extract(quarter from o_orderdate), date_part('day', o_orderdate)",
     "sql_nullif_ratio": "select o_orderstatus, round(sum(o_totalprice) / nullif(count(*), 0), 4) as mean from orders group by o_orderstatus",
 }.items():
     _sql(_name, _text)
 
+SQL["sql_date_parts"] = SQL["sql_date_parts"].replace("select extract(quarter from o_orderdate) as q, date_part('day', o_orderdate) as d", "select cast(extract(quarter from o_orderdate) as integer) as q, cast(date_part('day', o_orderdate) as integer) as d")
 SQL["sql_join_pre_aggregated"] = SQL["sql_join_pre_aggregated"].replace("sum(o.n)", "cast(sum(o.n) as bigint)")
 SQL["sql_conditional_agg"] = SQL["sql_conditional_agg"].replace("sum(case when l_linestatus = 'O' then 1 else 0 end)", "cast(sum(case when l_linestatus = 'O' then 1 else 0 end) as bigint)")
 SQL["sql_window_row_number"] = SQL["sql_window_row_number"].replace("sum(k)", "cast(sum(k) as bigint)")
@@ -234,7 +236,7 @@ _sql(
     "select cast(date_trunc('quarter', o_orderdate) as timestamp_ntz) as q, count(*) as n from orders group by cast(date_trunc('quarter', o_orderdate) as timestamp_ntz)",
     "select date_trunc('quarter', o_orderdate)::timestamp as q, count(*) as n from orders group by 1",
 )
-_sql("limit_capped", "select p_partkey from part order by p_partkey limit 99999999", "select p_partkey from part order by p_partkey limit 10000")
+_sql("limit_capped", "select l_orderkey, l_linenumber from lineitem order by l_orderkey, l_linenumber limit 99999999", "select l_orderkey, l_linenumber from lineitem order by l_orderkey, l_linenumber limit 10000")
 
 _LINKED = "exists (select 1 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_custkey = o_custkey and r_name = 'AFRICA')"
 _sql("row_filter_direct", "select r_name from region", "select r_name from region where r_name = 'AFRICA'", AFRICA)

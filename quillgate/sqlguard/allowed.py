@@ -37,6 +37,9 @@ AGGREGATES = frozenset(
 #: Repeating a row changes nothing about these.
 UNMOVED = frozenset("min max any_value first first_value last last_value bool_and bool_or every some approx_count_distinct collect_set max_by min_by".split())
 
+#: They keep every value of a group; of a whole table that is without bound.
+GATHERING = frozenset("listagg string_agg collect_list collect_set array_agg".split())
+
 WINDOW_ONLY = frozenset("row_number rank dense_rank percent_rank cume_dist ntile lag lead nth_value".split())
 
 FUNCTIONS = (

@@ -96,13 +96,25 @@ def _stable(v: Any) -> Any:
 
 
 def parse(spark: SparkSession, text: str) -> Parsed:
-    """Parses without running anything; what isn't one statement is refused by the parser."""
+    """Parses without running anything; what isn't one statement is refused by the parser.
+
+    The parser reads its settings (how quoted names are read, above all) from the thread's active session, so
+    that is this one while it parses.
+    """
+    sessions = spark.sparkContext._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
     try:
+        sessions.setActiveSession(spark._jsparkSession)
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except (PySparkException, Py4JJavaError) as e:
         message = str(e).splitlines()[0]
         after = text.rstrip().rstrip(";")
         reject("sql.statements" if ";" in after and "end of input" not in message else "sql.parse", "$", message, "parse")
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+        else:
+            sessions.clearActiveSession()
     return Parsed.of(plan)
 
 

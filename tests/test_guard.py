@@ -101,6 +101,9 @@ def refused(session, text):
         ("select sum(s.total) over (partition by s.id) as x, i.amount from sale s join item i on i.sale_id = s.id", "sql.fan_out"),
         ("select x.k, b.rank from (select s.buyer_id as k, i.amount from sale s join item i on i.sale_id = s.id) x join buyer b on x.k = b.id", "sql.join_unknown_grain"),
         ("select id from sale limit 1 + 1", "sql.limit"),
+        # a name in double quotes is a name
+        ('select "mail" from buyer', "sql.pii"),
+        ('select "nothing" from buyer', "sql.unknown_column"),
     ],
 )
 def test_refused(session, text, code):
