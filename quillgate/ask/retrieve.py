@@ -17,11 +17,12 @@ def _terms(text: str) -> set[str]:
 
 
 def table_scores(question: str, catalog: Catalog) -> dict[str, float]:
-    """Words shared with a table's name count most, then synonyms, columns and stored values."""
+    """Words shared with a table's name count most, the more of the name they are; then synonyms, columns and stored values."""
     asked = _terms(question)
     scores = {}
     for t in catalog.tables:
-        score = 3.0 * len(asked & _terms(t.name)) + len(asked & _terms(t.description))
+        named = asked & _terms(t.name)
+        score = 3.0 * len(named) + len(named) / max(len(_terms(t.name)), 1) + len(asked & _terms(t.description))
         score += sum(2.0 for s in catalog.synonyms if s.target.split(".")[0] == t.name and _terms(s.term) & asked)
         for c in t.columns:
             score += len(asked & _terms(c.name)) + 1.5 * any(v.lower() in question.lower() for v in c.values)

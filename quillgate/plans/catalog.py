@@ -246,9 +246,9 @@ def metric_tables(metric: Metric) -> set[str]:
     """Every table a metric reads."""
     names = {metric.source, *metric.tables} - {""}
     for spec in (*metric.aggregations, metric.numerator, metric.denominator):
-        if spec and spec.count(":") >= 2:
-            names.add(spec.split(":")[1].split(".")[0])
+        if spec and spec.count(":") >= 1 and (target := spec.split(":")[1]) != "*":
+            names.add(target.split(".")[0])
     names |= {g.split("@")[0].split(".")[0] for g in metric.group_by}
     for j in metric.joins:
-        names |= {Ref.of(side).table for side in j.split("=")}
+        names |= {Ref.of(side.strip()).table for condition in j.split(":")[-1].split(",") for side in condition.split("=")}
     return names

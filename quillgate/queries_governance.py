@@ -214,6 +214,33 @@ _plans(
 )
 
 
+_plans(
+    "plan_bucketed_keys",
+    ("a key and its month", lambda: _q("orders").by("orders.o_orderdate").bucket("orders.o_orderdate", "month").agg("count", None, "n").limit(1000), None, "select distinct date_trunc('month', o_orderdate) from orders"),
+    ("a key", lambda: _q("orders").by("orders.o_orderpriority").agg("count", None, "n").limit(1000), None, "select distinct o_orderpriority from orders"),
+)
+_plans(
+    "plan_all_faults",
+    ("three faults at once", lambda: _q("customer").by("customer.c_name").agg("sum", "customer.c_mktsegment", "s").having("m", "gt", 3), "plan.unknown_having_alias policy.limit_required policy.pii_exposed typecheck.agg_non_numeric", None),
+    ("none", lambda: _q("customer").by("customer.c_mktsegment").agg("sum", "customer.c_acctbal", "s").having("s", "gt", 3.0).limit(50), None, "select c_mktsegment from customer group by 1 having sum(c_acctbal) > 3"),
+)
+def metrics_authorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric over tables a principal may not read is unknown to it."""
+    names = ("order_count", "revenue_by_nation", "monthly_orders")
+    rows = []
+    for who, tables in (("all", None), ("guest", frozenset({"orders"}))):
+        session = governed(spark, sf_dir, Principal(who, allowed_tables=tables))
+        rows += [(f"{who} {m}", "catalog.unknown_metric", lambda s=session, m=m: s.metric(m).df) for m in names]
+    return _outcome(spark, rows)
+
+
+QUERIES["metrics_authorised"] = metrics_authorised
+_MONTHS, _NATIONS = "select distinct date_trunc('month', o_orderdate) from orders", "select distinct c_nationkey from orders join customer on o_custkey = c_custkey"
+SQL["metrics_authorised"] = _expected(
+    [("all order_count", None, "select 1"), ("all revenue_by_nation", None, _NATIONS), ("all monthly_orders", None, _MONTHS),
+     ("guest order_count", None, "select 1"), ("guest revenue_by_nation", "catalog.unknown_metric", None), ("guest monthly_orders", None, _MONTHS)]
+)
+
 # --- whom a session serves, and how it runs --------------------------------------------------------------
 
 _FEW = Principal("guest", allowed_tables=frozenset({"nation", "region"}))

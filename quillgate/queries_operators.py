@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -10,12 +11,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgate.ask.retrieve import relevant_tables
 from quillgate.demo_catalog import CATALOG, sources
 from quillgate.evidence import ledger
 from quillgate.operators import compare, ground, profile
 from quillgate.plans.catalog import Catalog, Column, Ref, Table
 from quillgate.queries_relational import governed
 from quillgate.sources.readers import typed_copy
+from quillgate.sources.sqlite import import_file
+from quillgate.sqlguard.tree import parse
 from quillgate.workspace import fresh_dir, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,4 +161,48 @@ def typed_text_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_copy(rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns]))
 
 
+@_query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
+def sqlite_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table kept in a SQLite file and taken from there; the file lies in the shared folder."""
+    folder = fresh_dir(spark, "sqlite").removeprefix("file://").removeprefix("file:")
+    Path(folder).mkdir(parents=True)
+    with sqlite3.connect(f"{folder}/nation.db") as db:
+        db.execute("create table NATION (N_NATIONKEY integer primary key, N_NAME text, N_REGIONKEY integer)")
+        db.executemany("insert into NATION values (?, ?, ?)", [tuple(r) for r in read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()])
+    import_file(spark, f"{folder}/nation.db", folder)
+    return spark.read.parquet(f"{folder}/nation.parquet")
+
+
+@_query(f"select table_name, table_name as found from information_schema.tables where table_name in ({', '.join(repr(t.name) for t in CATALOG.tables)})")
+def tables_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a question about each table, the table it is found to be about."""
+    rows = [(t.name, relevant_tables(f"list all {t.name.replace('_', ' ')}", CATALOG)[0]) for t in CATALOG.tables]
+    return spark.createDataFrame(rows, "table_name string, found string")
+
+
+_ASKED = ("FRANCE", "france", "united states", "Atlantis", "saudi-arabia")
+
+
+@_query(
+    "\nunion all ".join(
+        f"""select '{v}' as asked, case when exists (select 1 from nation where n_name = '{v}') then 'stored' when exists (select 1 from nation where regexp_replace(lower(n_name), '[^0-9a-z]', '', 'g') = regexp_replace(lower('{v}'), '[^0-9a-z]', '', 'g')) then 'respelled' else 'nowhere' end as verdict,
+        (select n_name from nation where n_name <> '{v}' and regexp_replace(lower(n_name), '[^0-9a-z]', '', 'g') = regexp_replace(lower('{v}'), '[^0-9a-z]', '', 'g')) as spelling"""
+        for v in _ASKED
+    )
+)
+def literals_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constants of queries that are stored as they are, in another spelling, or nowhere."""
+    session, rows = governed(spark, sf_dir), []
+    for v in _ASKED:
+        found = ground.ground(parse(spark, f"select n_regionkey from nation where n_name = '{v}'").root, CATALOG, session.filtered, {"nation"})
+        rows.append((v, "respelled" if v in found.replacements else "nowhere" if v in found.unmatched else "stored", found.replacements.get(v)))
+    return spark.createDataFrame(rows, "asked string, verdict string, spelling string")
+
+
+@_query("select p_name as value from (select p_name from part where lower(p_name) like '%red%' group by 1 order by length(p_name), p_name limit 3)")
+def similar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ground.similar(governed(spark, sf_dir).filtered, Ref("part", "p_name"), "red")
+    return spark.createDataFrame([(v,) for v in found], "value string")
+
+
 __all__ = ["QUERIES", "SQL", "sources"]

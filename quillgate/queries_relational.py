@@ -220,6 +220,13 @@ for _name, _text in {
 }.items():
     _sql(_name, _text)
 
+_sql(
+    "sql_date_arithmetic",
+    "select date_format(o_orderdate, 'yyyy-MM') as m, max(datediff(date '2030-01-01', o_orderdate)) as days, min(to_date('2020-03-01')) as d, max(add_months(o_orderdate, 1)) as later from orders group by date_format(o_orderdate, 'yyyy-MM')",
+    "select strftime(o_orderdate, '%Y-%m') as m, cast(max(date_diff('day', cast(o_orderdate as date), date '2030-01-01')) as integer) as days, min(date '2020-03-01') as d, max(cast(o_orderdate + interval 1 month as date)) as later from orders group by 1",
+)
+_sql("sql_set_limit", "select n_nationkey as k from nation union select r_regionkey + 100 as k from region order by k desc limit 8")
+SQL["sql_set_limit"] = "select cast(k as integer) as k from (" + SQL["sql_set_limit"] + ")"
 SQL["sql_date_parts"] = SQL["sql_date_parts"].replace("select extract(quarter from o_orderdate) as q, date_part('day', o_orderdate) as d", "select cast(extract(quarter from o_orderdate) as integer) as q, cast(date_part('day', o_orderdate) as integer) as d")
 SQL["sql_join_pre_aggregated"] = SQL["sql_join_pre_aggregated"].replace("sum(o.n)", "cast(sum(o.n) as bigint)")
 SQL["sql_conditional_agg"] = SQL["sql_conditional_agg"].replace("sum(case when l_linestatus = 'O' then 1 else 0 end)", "cast(sum(case when l_linestatus = 'O' then 1 else 0 end) as bigint)")

@@ -253,3 +253,12 @@ def test_explained_in_words():
     for piece in ("sale.total is above 2.5", "the total of sale.total (revenue)", "sale.made by month", "revenue is at least 10", "revenue from the top", "at most 3 rows"):
         assert piece in text
     assert F is not None
+
+
+def test_metrics_of_a_slice_are_those_over_its_tables():
+    from quillgate.plans.catalog import Metric, metric_tables
+
+    assert metric_tables(Metric("m", source="sale", aggregations=("count:*:n", "sum:item.amount:s"), group_by=("buyer.rank", "sale.made@month"))) == {"sale", "item", "buyer"}
+    assert metric_tables(Metric("m", source="item", aggregations=("count:*",), joins=("item:sale:item.sale_id=sale.id",))) == {"item", "sale"}
+    counted = replace(CATALOG, metrics=(Metric("m", source="sale", aggregations=("count:*:n",)),))
+    assert [m.id for m in counted.slice(["sale"]).metrics] == ["m"] and not counted.slice(["buyer"]).metrics
