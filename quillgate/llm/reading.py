@@ -118,6 +118,8 @@ class _Chunks(dict):
 
 
 _KNOWN = _Chunks()
+#: Pieces that a task remembers before it begins anew.
+MOST_KNOWN = 400_000
 _UPPER = np.array([chr(i).isupper() for i in range(0x590)])
 _LOWER = np.array([chr(i).islower() for i in range(0x590)])
 
@@ -181,8 +183,9 @@ class _Running:
 
 def _running(texts: list[str]) -> _Running:
     """Names (words with a capital inside a sentence) are left out, but where titles or whole texts have capitals."""
-    if len(_KNOWN) > 400_000:
-        _KNOWN.__init__()
+    global _KNOWN
+    if len(_KNOWN) > MOST_KNOWN:
+        _KNOWN = _Chunks()
     parts = [np.array(_chunks_of(t), np.int64) for t in texts]
     chunk = np.concatenate(parts)
     of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])

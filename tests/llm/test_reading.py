@@ -46,3 +46,20 @@ def test_thresholds_ascend_and_noise_moves_little():
     m = R.OrdinalModel.fit(x, y)
     assert (np.diff(m.thresholds) > 0).all() and abs(m.weights[0]) > 10 * np.abs(m.weights[1:]).max()
     assert (np.abs(m.band(x) - y) <= 1).mean() > 0.95
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    rng = random.Random(9)
+    texts = [_text(rng, 1 + i % 4) + f" plus word{chr(97 + i % 26)}{chr(97 + i // 26)} (really, it is)" for i in range(80)] + [None, "", " \n", "A.", "x" * 5000, "(((," * 50]
+    whole, buckets = R.features(texts)
+    monkeypatch.setattr(R, "MOST_KNOWN", 5)
+    for i, t in enumerate(texts):
+        x, b = R.features([t])
+        assert np.allclose(x[0], whole[i]) and (b[0] is None) == (buckets[i] is None) and (b[0] is None or (b[0] == buckets[i]).all())
+
+
+def test_clauses_open_and_close():
+    depth = lambda t: R._running([t]).depth.tolist()
+    assert depth("we wait because it rains, and go") == [0, 0, 1, 1, 1, 0, 0]
+    assert depth("the map (which we drew) is old. it is new") == [0, 0, 2, 2, 2, 1, 1, 0, 0, 0]
+    assert depth("we know that, if it rains, nobody comes") == [0, 0, 1, 2, 2, 2, 1, 1]
