@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgate.functions.moments import epoch_micros
-from quillgate.workspace import fresh_dir, materialize, shuffle_width
+from quillgate.workspace import fresh_dir, shuffle_width
 
 _ENTRY = np.dtype([("key", "S16"), ("kept", "<i8"), ("seen_ms", "<i8")])
 _NO_TIME = 2**62
@@ -181,26 +181,34 @@ def _settle(spark: SparkSession, root: str) -> int:
     claims = spark.read.schema(_VERDICT).parquet(*[f"{root}/verdicts/batch={b}" for b in new]).filter("verdict = 'kept'")
     claims = claims.select("message", "delivery", F.lit(True).alias("new"))
     if before:
-        known = spark.read.schema("message binary, delivery bigint").parquet(*[f"{root}/ledger/upto={b}" for b in before])
-        claims = claims.unionByName(known.select("message", "delivery", F.lit(False).alias("new")))
-    told = claims.groupBy("message").agg(F.min("delivery").alias("first"), F.max("delivery").alias("last"), F.count("*").alias("n"), F.max("new").alias("new"), F.min(F.when(~F.col("new"), F.col("delivery"))).alias("known"))
-    told = materialize(told.filter("new"), "dedup-claims")
+        claims = claims.unionByName(_ledger(spark, root, before).select("message", "delivery", F.lit(False).alias("new")))
+    told = claims.groupBy("message").agg(F.min("delivery").alias("delivery"), F.count("*").alias("claims"), F.max("new").alias("new"), F.min(F.when(~F.col("new"), F.col("delivery"))).alias("known"))
+    told.filter("new").drop("new").write.mode("overwrite").parquet(f"{root}/ledger/upto={last}.part")
+    told = spark.read.schema(_LEDGER).parquet(f"{root}/ledger/upto={last}.part")
     # nearly every message is claimed once; of those claimed more often, all claims but the first repeat it
-    more = told.filter("n > 1")
-    late = claims.join(more.select("message", "first"), "message").filter("delivery > first").select("delivery")
+    more = told.filter("claims > 1").select("message", F.col("delivery").alias("first"))
+    late = claims.join(more, "message").filter("delivery > first").select("delivery")
     late.write.mode("overwrite").parquet(f"{root}/late/upto={last}")
-    better = told.filter("known is null or first < known")
-    better.select("message", F.col("first").alias("delivery")).write.mode("overwrite").parquet(f"{root}/ledger/upto={last}")
+    files, part = _file_system(spark, f"{root}/ledger/upto={last}.part")
+    files.rename(part, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/ledger/upto={last}"))
     return last
 
 
+_LEDGER = "message binary, delivery bigint, claims bigint, known bigint"
+
+
+def _ledger(spark: SparkSession, root: str, settlements: list[int]) -> DataFrame:
+    """The kept row of every message of earlier settlements, those that a later one has found a better row for too."""
+    return spark.read.schema(_LEDGER).parquet(*[f"{root}/ledger/upto={b}" for b in settlements]).filter("known is null or delivery < known")
+
+
 def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
     """The numbers in the names of finished sub-folders such as ``batch=3``."""
     if not _exists(spark, folder):
         return []
     files, target = _file_system(spark, folder)
     found = [s.getPath() for s in files.listStatus(target)]
-    done = [p for p in found if p.getName().startswith(f"{name}=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    done = [p for p in found if p.getName().startswith(f"{name}=") and p.getName().split("=")[1].isdigit() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
     return sorted(int(p.getName().split("=")[1]) for p in done)
 
 
