@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -80,7 +81,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_quillgate_shipped", False):
         return
     here = Path(__file__).resolve().parent
+    # code, not data; executors that join later fetch it from here, so it stays until the driver ends
     folder = tempfile.mkdtemp(prefix="quillgate-")
+    atexit.register(shutil.rmtree, folder, True)
     for f in here.rglob("*.py"):
         target = Path(folder, "src", here.name, f.relative_to(here))
         target.parent.mkdir(parents=True, exist_ok=True)
